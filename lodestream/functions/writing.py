@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space, control and format characters, and characters without a shape of their own.
-INVISIBLE = r"[\p{Z}\p{Cc}\p{Cf}͏ᅟᅠ឴឵⠀ㅤ︀-️ﾠ]+"
-_DOTS = "․。﹒．｡"
-_HYPHENS = "‐‑‒–—―⁃−﹘﹣－"
+INVISIBLE = r"[\p{Z}\p{Cc}\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]+"
+_DOTS = "".join(map(chr, (0x2024, 0x3002, 0xFE52, 0xFF0E, 0xFF61)))
+_HYPHENS = "".join(map(chr, (0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2043, 0x2212, 0xFE58, 0xFE63, 0xFF0D)))
 _MARKS = r"[\p{P}\p{S}]"
 
 
@@ -72,7 +72,7 @@ def canonical_url(value: Column) -> Column:
 
 
 #: Every character that counts as white space at the ends of a value.
-_EDGE = r"[\s\p{Z}\u0085​﻿]+"
+_EDGE = r"[\s\p{Z}\x{85}\x{200B}\x{FEFF}]+"
 
 
 def trimmed_lower(value: Column) -> Column:
