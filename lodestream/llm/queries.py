@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
-from lodestream.llm import format_dups, survivor
+from lodestream.llm import format_dups, history_dups, survivor
 from lodestream.llm.sql import SQL  # noqa: F401
 from lodestream.sources.tables import table
 
@@ -36,6 +36,16 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return of.where("id = first_id").select(F.col("tag").alias("tbl"), "first_id", "copies")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of each crawl whose host is in domains or an earlier crawl, exactly or nearly."""
+    ccd, domains = table(spark, folder, "common_crawl_domains"), table(spark, folder, "domains")
+    names = sorted(r[0] for r in ccd.select("crawl_id").where("crawl_id is not null").distinct().collect())  # one name for each batch
+    eras = F.broadcast(spark.createDataFrame(list(zip(names, range(1, len(names) + 1), strict=True)), "crawl_id string, era int"))
+    new = ccd.join(eras, "crawl_id", "left").select("id", canonical_host(F.col("domain")).alias("host"), "era")
+    old = domains.select(F.lit(None).cast("bigint").alias("id"), canonical_host(F.col("normalized_domain")).alias("host"), F.lit(0).alias("era"))
+    return history_dups.repeats(old.unionByName(new), F.col("host"), F.col("era"), "id").withColumnRenamed("row_id", "ccd_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The record that gives each field of each group's survivor."""
     trust = F.broadcast(table(spark, folder, "source_trust").select(trimmed_lower(F.col("source_type")).alias("trusted"), "trust_rank"))  # a fixed table of ten rows
@@ -51,4 +61,4 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(F.lit("domain_sources").alias("tbl"), "*").unionByName(b.select(F.lit("domains").alias("tbl"), "*"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found}

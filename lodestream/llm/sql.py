@@ -82,8 +82,22 @@ with src as (
 select tbl, group_id, field_name, id as from_id from c where rn = 1
 """
 
+_P3 = f"""
+with h as (
+  select id, crawl_id, {host('domain')} as h from common_crawl_domains
+), k as (
+  select h, min(b) as b from (select h, crawl_id as b from h union all select {host('normalized_domain')}, '' from domains) where h is not null and b is not null group by h
+), s as (
+  select h, b, split_part(h, '.', -1) as t, left(h, length(h) - length(split_part(h, '.', -1)) - 1) as s from k
+), n as (
+  select x.h, min(y.b) as b from s x join s y on x.t = y.t and y.b < x.b and abs(length(x.s) - length(y.s)) <= 2 and levenshtein(x.s, y.s) <= 2 group by x.h
+)
+select h.id as ccd_id from h join k using (h) left join n using (h) where least(k.b, coalesce(n.b, k.b)) < h.crawl_id
+"""
+
 SQL = {
     "p2_found": _WRITTEN + "select tbl, first_id, id as copy_id from g where id <> first_id",
     "p2_groups": _WRITTEN + "select tbl, first_id, copies from g where id = first_id",
+    "p3_found": _P3,
     "p5_found": _P5,
 }
