@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
-from lodestream.llm import format_dups, history_dups, survivor
+from lodestream.llm import format_dups, history_dups, mixing, survivor, tokenize
 from lodestream.llm.sql import SQL  # noqa: F401
 from lodestream.sources.tables import table
 
@@ -61,4 +61,33 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(F.lit("domain_sources").alias("tbl"), "*").unionByName(b.select(F.lit("domains").alias("tbl"), "*"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document's text."""
+    return tokenize.encode(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document's ids decode to its text again."""
+    documents = table(spark, folder, "documents")
+    back = tokenize.decode_all(tokenize.encode(documents, "doc_id", "text"), "row_id", "ids")
+    whole = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("before"))
+    joined = whole.select("doc_id", F.md5("before").alias("a")).join(back.select(F.col("row_id").alias("doc_id"), F.md5("text").alias("b")), "doc_id")
+    return joined.select("doc_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, folder, "mix_targets")
+    return mixing.mix(mixing.sized(table(spark, folder, "documents"), "doc_id", "source", "text"), targets), targets
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix, with how often each stands in it."""
+    return _mixed(spark, folder)[0].withColumnRenamed("row_id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's target and actual share of all tokens of the mix."""
+    return mixing.shares(*_mixed(spark, folder))
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares}
