@@ -31,10 +31,16 @@ def _width_table() -> dict[str, str]:
 _TABLE = _width_table()
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain(value: Column) -> Column:
     """Without white space and invisible characters, ordinary width, dots and hyphens, lower case."""
     seen = F.regexp_replace(value, INVISIBLE, "")
-    return F.lower(F.translate(seen, "".join(_TABLE), "".join(_TABLE.values())))
+    full = F.translate(seen, "".join(_TABLE), "".join(_TABLE.values()))
+    return F.lower(F.when(value.rlike(r"^[!-~]*\z"), value).otherwise(full))  # visible ASCII has nothing to take away
 
 
 def canonical_host(value: Column) -> Column:
@@ -43,12 +49,10 @@ def canonical_host(value: Column) -> Column:
     Formatting: white space, invisible characters, case, width, kinds of dot and hyphen,
     punctuation at either end, a scheme and one leading ``www.``.
     """
-    bare = F.regexp_replace(
-        plain(value),
-        rf"^{_MARKS}*(?:[a-z][a-z0-9+.\-]*:/+{_MARKS}*)?(?:www\.(?=[^.]+\.))?|{_MARKS}+$",
-        "",
-    )
-    return F.when(F.instr(bare, ".") > 1, bare)
+    edges = rf"^{_MARKS}*(?:[a-z][a-z0-9+.\-]*:/+{_MARKS}*)?(?:www\.(?=[^.]+\.))?|{_MARKS}+$"
+    clean = value.rlike(r"^(?!www\.)[a-z0-9][a-z0-9.\-]*[a-z0-9]\z")
+    bare = F.when(clean, value).otherwise(F.regexp_replace(plain(value), edges, ""))
+    return _let(bare, lambda x: F.when(F.instr(x, ".") > 1, x))
 
 
 def canonical_url(value: Column) -> Column:
@@ -57,18 +61,28 @@ def canonical_url(value: Column) -> Column:
     Besides what holds for every value: doubled separators, a trailing slash of the path,
     an empty query, query field or fragment, and the order of the query fields.
     """
-    whole = F.regexp_replace(plain(value), rf"^{_MARKS}+|{_MARKS}+$", "")
-    head = F.substring_index(whole, "#", 1)
-    path = F.regexp_replace(F.regexp_replace(F.substring_index(head, "?", 1), "/{2,}", "/"), "/$", "")
-    query = F.regexp_replace(head, r"^[^?]*\?*", "")
-    fields = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: x != "")), "&")
-    fragment = F.regexp_replace(whole, "^[^#]*#*", "")
-    out = F.concat(
-        path,
-        F.when(F.contains(head, F.lit("?")) & (fields != ""), F.concat(F.lit("?"), fields)).otherwise(""),
-        F.when(F.contains(whole, F.lit("#")) & (fragment != ""), F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
-    return F.when(out != "", out)
+
+    def whole(x: Column) -> Column:
+        return F.when(x.rlike(r"^[a-z0-9](?:.*[a-z0-9])?\z"), x).otherwise(F.regexp_replace(x, rf"^{_MARKS}+|{_MARKS}+$", ""))
+
+    def path(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, "/{2,}", "/"), "/$", "")
+
+    def query(x: Column) -> Column:
+        sorted_fields = F.array_join(F.array_sort(F.filter(F.split(x, "&"), lambda f: f != "")), "&")
+        fields = F.when(F.contains(x, F.lit("&")), sorted_fields).otherwise(x)
+        return _let(fields, lambda f: F.when(f != "", F.concat(F.lit("?"), f)).otherwise(""))
+
+    def head(x: Column) -> Column:
+        parts = F.concat(path(F.substring_index(x, "?", 1)), query(F.regexp_replace(x, r"^[^?]*\?*", "")))
+        return F.when(F.contains(x, F.lit("?")), parts).otherwise(path(x))
+
+    def with_fragment(x: Column) -> Column:
+        fragment = _let(F.regexp_replace(x, "^[^#]*#*", ""), lambda f: F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""))
+        both = F.concat(_let(F.substring_index(x, "#", 1), head), fragment)
+        return F.when(F.contains(x, F.lit("#")), both).otherwise(head(x))
+
+    return _let(_let(_let(plain(value), whole), with_fragment), lambda x: F.when(x != "", x))
 
 
 #: Every character that counts as white space at the ends of a value.
