@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
-from lodestream.llm import format_dups, history_dups, mixing, survivor, tokenize
+from lodestream.llm import format_dups, history_dups, mixing, mojibake, survivor, tokenize
 from lodestream.llm.sql import SQL  # noqa: F401
 from lodestream.sources.tables import table
 
@@ -90,4 +90,14 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents whose text was decoded with a wrong encoding."""
+    return mojibake.restored(table(spark, folder, "documents"), "doc_id", "text").select(F.col("row_id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected documents with all of their text that can be restored."""
+    return mojibake.restored(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
