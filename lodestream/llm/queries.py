@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
-from lodestream.llm import format_dups, history_dups, mixing, mojibake, survivor, tokenize
+from lodestream.llm import format_dups, history_dups, mixing, mojibake, survivor, templates, tokenize
 from lodestream.llm.sql import SQL  # noqa: F401
 from lodestream.sources.tables import table
 
@@ -61,6 +61,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return a.select(F.lit("domain_sources").alias("tbl"), "*").unionByName(b.select(F.lit("domains").alias("tbl"), "*"))
 
 
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.residue(table(spark, folder, "page_bundles"), "bundle_id", ["html", "whatweb_error", "disqualifiers"])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The records and fields that hold template residue, filler, error pages or script notices."""
+    return _residue(spark, folder).select(F.col("rec").alias("bundle_id"), F.col("field").alias("field_name"))
+
+
+def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many fields hold what kind of residue."""
+    return _residue(spark, folder).select("field", F.explode("reasons").alias("reason")).groupBy("field", "reason").count()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document's text."""
     return tokenize.encode(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
@@ -100,4 +114,4 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restored(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
