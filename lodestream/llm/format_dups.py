@@ -48,8 +48,12 @@ def groups(records: DataFrame, hot_share: float = HOT_SHARE, salts: int = SALTS)
 
 
 def collapse(df: DataFrame, row_id: str, key: Column, **options) -> DataFrame:
-    """One record of ``df`` for each group, with ``n_copies``; records without a key stand for themselves."""
+    """One record of ``df`` for each group, with ``n_copies``; records without a key stand for themselves.
+
+    A column of ``df`` that is called ``n_copies`` already is replaced.
+    """
     of = groups(keyed(df, row_id, key, ""), **options)
-    kept = of.where("id = first_id").groupBy("id").agg(F.max("copies").alias("_copies"))
-    named = df.join(kept, df[row_id] == kept["id"], "left").where(F.col("_copies").isNotNull() | key.isNull())
-    return named.select(*(df[c] for c in df.columns), F.coalesce("_copies", F.lit(1)).alias("n_copies"))
+    kept = of.where("id = first_id").groupBy("id").agg(F.max("copies").alias("_n")).withColumnRenamed("id", "_first")
+    lone = df.where(key.isNull()).select("*", F.lit(1).cast("long").alias("_n"))
+    first = df.where(key.isNotNull()).join(kept, F.col(row_id) == F.col("_first")).drop("_first").dropDuplicates([row_id])
+    return first.unionByName(lone).drop("n_copies").withColumnRenamed("_n", "n_copies")
