@@ -9,7 +9,7 @@ most two insertions, deletions or replacements. Content-defined cut points can't
 a host has a dozen or two characters, and two edits can fall into every chunk that a rolling hash cuts
 (see the README for the share that is lost). The chunks are therefore *gapped*: the stem with none, one
 or two characters left out, hashed with the ending by a rolling polynomial hash from whose prefix values
-each of the L^2/2 gapped hashes follows in a few operations. Two stems within two edits always share a
+each of the L^2/2 gapped hashes follows in a few operations (stems longer than any host name are cut into thirds). Two stems within two edits always share a
 gapped chunk of at least max(length) - 2 characters (leave out each edited character on either side), so
 with that coverage no pair is lost; and a chunk of that length is shared by hardly any others, so pairs
 grow with the links and not with the square of the keys.
@@ -35,6 +35,8 @@ from lodestream.session import materialize, shuffle_partitions
 EDITS = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_SCHEMA = "chunk bigint, hid bigint, era int"
+#: Stems of more characters (no host name has more than 253) are cut into thirds instead of being gapped.
+LONGEST = 255
 #: Chunks that one task sorts, so that its memory is bounded.
 _PER_TASK = 3_000_000
 
@@ -67,6 +69,32 @@ def gapped_hashes(codes: np.ndarray) -> np.ndarray:
         return np.concatenate(out, axis=1)
 
 
+def piece_hashes(codes: np.ndarray) -> np.ndarray:
+    """For strings of one length beyond ``LONGEST``: the hashes of their thirds, and of what may be a third of a near string.
+
+    Two edits leave one third of a string whole, shifted by two places at most; so a fixed number of chunks will do.
+    """
+    n, length = codes.shape
+    with np.errstate(over="ignore"):
+        letters, power, prefix = _mix(codes.astype(np.uint64) + _BASE), np.ones(length + 1, np.uint64), np.zeros((n, length + 1), np.uint64)
+        for k in range(length):
+            power[k + 1] = power[k] * _BASE
+            prefix[:, k + 1] = prefix[:, k] * _BASE + letters[:, k]
+        out = []
+        for other in range(length - EDITS, length + EDITS + 1):
+            for i in range(EDITS + 1):
+                begin, end = other * i // (EDITS + 1), other * (i + 1) // (EDITS + 1)
+                for shift in range(-EDITS, EDITS + 1):
+                    a, b = begin + shift, end + shift
+                    if a >= 0 and b <= length:
+                        out.append(_mix(prefix[:, b] - prefix[:, a] * power[b - a] + np.uint64(other * 8 + i)))
+        return np.stack(out, axis=1)
+
+
+def _variants(length: int) -> int:
+    return 1 + length + length * (length - 1) // 2 if length <= LONGEST else (2 * EDITS + 1) ** 2 * (EDITS + 1)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hid, era = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hid", "era"))
@@ -75,14 +103,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(s) for s in stems])
         for length in np.unique(sizes):
             of = np.flatnonzero(sizes == length)
-            variants = 1 + length + length * (length - 1) // 2
+            variants = _variants(int(length))
             step = max(1, 400_000 // variants)
             for k in range(0, len(of), step):
                 some = of[k : k + step]
-                hashes = gapped_hashes(np.stack([stems[i] for i in some]))
+                codes = np.stack([stems[i] for i in some])
+                both = [f(codes) for f, used in ((gapped_hashes, length <= LONGEST), (piece_hashes, length > LONGEST - EDITS)) if used]
+                hashes = np.concatenate(both, axis=1)
                 with np.errstate(over="ignore"):
-                    mixed = _mix(hashes + tail[some][:, None]).view(np.int64)
-                columns = [mixed.ravel(), np.repeat(hid[some], variants), np.repeat(era[some], variants).astype(np.int32)]
+                    mixed = np.sort(_mix(hashes + tail[some][:, None]).view(np.int64), axis=1)
+                new = np.ones(mixed.shape, bool)  # a run of one letter gives the same chunk for each of its letters
+                new[:, 1:] = mixed[:, 1:] != mixed[:, :-1]
+                times = new.sum(axis=1)
+                columns = [mixed[new], np.repeat(hid[some], times), np.repeat(era[some], times).astype(np.int32)]
                 yield pa.record_batch([pa.array(c) for c in columns], names=["chunk", "hid", "era"])
 
 
@@ -153,7 +186,7 @@ def repeats(df: DataFrame, key: Column, era: Column, row_id: str) -> DataFrame:
     spark = df.sparkSession
     rows = df.select(F.col(row_id).alias("row_id"), key.alias("host"), era.cast("int").alias("era"))
     hosts = records(rows, F.col("host"), F.col("era"))
-    total = hosts.select(F.sum(F.expr("1 + length(stem) + length(stem) * (length(stem) - 1) div 2"))).first()[0] or 0
+    total = hosts.select(F.sum(F.expr(f"if(length(stem) <= {LONGEST}, 1 + length(stem) + length(stem) * (length(stem) - 1) div 2, {_variants(LONGEST + 1)})"))).first()[0] or 0
     tasks = max(shuffle_partitions(spark), -(-total // _PER_TASK))
     pairs = chunks(hosts).repartition(tasks, "chunk").mapInArrow(_pairs, "late bigint, early bigint")
     near = _verified(pairs, hosts, hosts)
