@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import pages, signals, urls
 from lodestream.operators import keyed
+from lodestream.plans.index_sql import SQL  # noqa: F401
 from lodestream.sources.crawl_index import page_rows
 from lodestream.sources.tables import table
 from lodestream.streaming.arrivals import windowed_counts
@@ -306,4 +307,3 @@ QUERIES = _named(
     r_domain_overview, r_domain_page, r_dashboard, r_platform_counts, r_filter_values, r_source_counts, r_store_search, r_all_hosts, r_seen_span, r_seed_queries, r_score_bands, r_json_lists, r_event_windows,
     r_platforms, r_flat_maps, r_page_sample, r_page_counts, r_page_text, r_page_links, r_outer_domains, r_page_assets,
 )
-SQL: dict[str, str] = {}
