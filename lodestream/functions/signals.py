@@ -48,20 +48,40 @@ def _contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
-def country_signals(url: Column, domain: Column, country: str) -> tuple[Column, Column]:
-    """(sorted signals that prove the country, sorted signals of its language) of a URL and its host."""
+def country_tests(url: Column, domain: Column, country: str) -> tuple[list[tuple[Column, str]], list[tuple[Column, str]]]:
+    """(tests that prove the country, tests of its language), each with the signal's name."""
     if country not in COUNTRIES:
-        none = F.array().cast("array<string>")
-        return none, none
+        return [], []
     tlds, paths, words, language = COUNTRIES[country]
     low, tld = F.lower(url), top_label(domain)
     proof = [(tld == t, f"tld:{t}") for t in tlds] + [(F.contains(low, F.lit(p)), f"url:{p}") for p in paths] + [(F.contains(domain, F.lit(w)), f"domain:{w}") for w in words]
-    return F.array_sort(_hits(proof)), F.array_sort(_hits([(F.contains(low, F.lit(p)), f"url:{p}") for p in language]))
+    return proof, [(F.contains(low, F.lit(p)), f"url:{p}") for p in language]
 
 
-def shop_labels(url: Column) -> Column:
+def country_signals(url: Column, domain: Column, country: str) -> tuple[Column, Column]:
+    """(sorted signals that prove the country, sorted signals of its language) of a URL and its host."""
+    none = F.array().cast("array<string>")
+    proof, language = (F.array_sort(_hits(t)) if t else none for t in country_tests(url, domain, country))
+    return proof, language
+
+
+def shop_tests(url: Column) -> list[tuple[Column, str]]:
     low = F.lower(url)
-    return _hits([(_contains_any(low, words), label) for label, _, words in SHOP_PATTERNS])
+    return [(_contains_any(low, words), label) for label, _, words in SHOP_PATTERNS]
+
+
+def bits(tests: list[tuple[Column, str]]) -> Column:
+    """One bit for each test that holds: a set that combines by ``bit_or``. At most 63 tests."""
+    return sum((F.when(t, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (t, _) in enumerate(tests)), F.lit(0).cast("long"))
+
+
+def names_of(mask: Column, tests: list[tuple[Column, str]]) -> Column:
+    """The sorted names of a set of bits."""
+    return F.array_sort(F.array_compact(F.array(*(F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(name)) for i, (_, name) in enumerate(tests)))))
+
+
+def shop_labels(url: Column) -> Column:
+    return _hits(shop_tests(url))
 
 
 def shop_points(url: Column) -> Column:

@@ -60,15 +60,6 @@ def suffix_matches(df: DataFrame, host: str, listed: DataFrame, name: str) -> Da
     return chain.join(names, "listed").groupBy("host").agg(F.max_by("listed", F.length("listed")).alias("listed"))
 
 
-def sets_of(column: str, values: list[str]) -> list[Column]:
-    """One boolean aggregate for each possible member of an array column: a union that combines on the map side."""
-    return [F.coalesce(F.bool_or(F.array_contains(column, v)), F.lit(False)).alias(f"_{column}_{i}") for i, v in enumerate(values)]
-
-
-def set_from(column: str, values: list[str]) -> Column:
-    return F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_{column}_{i}"), F.lit(v)) for i, v in enumerate(values)))))
-
-
 def merge(target: DataFrame, updates: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """Upsert by key; each other column has a rule for keys that are in both.
 

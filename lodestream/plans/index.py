@@ -44,25 +44,30 @@ def r_like_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- import ------------------------------------------------------------------------------------------------
+_SETS = ("country_signals", "language_signals", "matched_patterns")
+
+
+def _tests(country: str) -> dict[str, list]:
+    proof, language = signals.country_tests(F.col("url"), F.col("domain"), country)
+    return dict(zip(_SETS, (proof, language, signals.shop_tests(F.col("url"))), strict=True))
+
+
 def _signalled(spark: SparkSession, folder: str, country: str) -> DataFrame:
+    """Index rows with their host and their signals as sets of bits."""
     rows = _index(spark, folder).withColumn("domain", urls.discovery_domain(urls.url_host(F.col("url"))))
-    proof, language = signals.country_signals(F.col("url"), F.col("domain"), country)
-    return rows.select("row_id", "url", "domain", "crawl", "fetched_at", proof.alias("country_signals"), language.alias("language_signals"))
+    return rows.select("row_id", "url", "domain", "crawl", "fetched_at", *(signals.bits(t).alias(n) for n, t in _tests(country).items()))
 
 
 def fold_by_domain(rows: DataFrame, country: str) -> DataFrame:
     """One row for each domain: capped points, sets of signals, first URL and last crawl.
 
-    All aggregates combine on the map side (sets as one boolean for each possible member), so a domain with a
-    third of all rows costs no more than another.
+    All aggregates combine on the map side (sets by ``bit_or``), so a domain with a third of all rows costs no
+    more than another.
     """
-    tlds, paths, words, language = signals.COUNTRIES[country]
-    sets = {"country_signals": [*(f"tld:{t}" for t in tlds), *(f"url:{p}" for p in paths), *(f"domain:{w}" for w in words)], "language_signals": [f"url:{p}" for p in language], "matched_patterns": [label for label, _, _ in signals.SHOP_PATTERNS]}
-    rows = rows.where(F.size("country_signals") > 0).withColumn("points", signals.shop_points(F.col("url"))).withColumn("matched_patterns", signals.shop_labels(F.col("url")))
-    members = [c for name, values in sets.items() for c in keyed.sets_of(name, values)]
-    points = F.when(F.col("points") > 0, F.col("points")).otherwise(FLOOR)
-    folded = rows.groupBy("domain").agg(F.least(F.lit(100), F.sum(points)).cast("int").alias("score"), F.min_by("url", "row_id").alias("source_url"), F.max_by("crawl", "row_id").alias("crawl_id"), F.max("fetched_at").alias("last_seen_at"), *members)
-    return folded.select("domain", urls.top_label(F.col("domain")).alias("tld"), F.lit(country).alias("country"), "score", *(keyed.set_from(n, v).alias(n) for n, v in sets.items()), "source_url", "crawl_id", "last_seen_at")
+    points = signals.shop_points(F.col("url"))
+    rows = rows.where("domain is not null and country_signals > 0").withColumn("points", F.when(points > 0, points).otherwise(FLOOR))
+    folded = rows.groupBy("domain").agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("score"), F.min_by("url", "row_id").alias("source_url"), F.max_by("crawl", "row_id").alias("crawl_id"), F.max("fetched_at").alias("last_seen_at"), *(F.bit_or(n).alias(n) for n in _SETS))
+    return folded.select("domain", urls.top_label(F.col("domain")).alias("tld"), F.lit(country).alias("country"), "score", *(signals.names_of(F.col(n), t).alias(n) for n, t in _tests(country).items()), "source_url", "crawl_id", "last_seen_at")
 
 
 def r_import(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +78,7 @@ def r_import(spark: SparkSession, folder: str) -> DataFrame:
 
 def r_import_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Why rows were taken or left out, in one pass."""
-    rows, proof, language = _signalled(spark, folder, COUNTRY), F.size("country_signals") > 0, F.size("language_signals") > 0
+    rows, proof, language = _signalled(spark, folder, COUNTRY), F.col("country_signals") > 0, F.col("language_signals") > 0
     n = lambda test, name: F.sum(F.when(test, 1).otherwise(0)).alias(name)
     valid = F.col("domain").isNotNull()
     return rows.groupBy("crawl").agg(F.count(F.lit(1)).alias("n_read"), n(~valid, "n_invalid"), n(valid & proof, "n_accepted"), n(valid & ~proof, "n_skipped"), n(valid & ~proof & language, "n_language_only"))

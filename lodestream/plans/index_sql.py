@@ -73,7 +73,7 @@ def _fold(name: str, test: str) -> str:
     return f"""{name} as (
   select domain, least(100, sum(case when points > 0 then points else 5 end))::int as score, {flat('cs')} as cs, {flat('ls')} as ls, {flat('ps')} as ps,
     arg_min(url, row_id) as source_url, arg_max(crawl, row_id) filter (where crawl is not null) as crawl_id, max(fetched_at) as seen
-  from sig where len(cs) > 0 and {test} group by domain)"""
+  from sig where domain is not null and len(cs) > 0 and {test} group by domain)"""
 
 
 _TAIL = "array_to_string({0}, '|')"
