@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.functions.writing import let
+
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
 _LABELS = r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+$"
 
@@ -25,12 +27,14 @@ def valid_host(host: Column) -> Column:
 
 def discovery_domain(value: Column) -> Column:
     """The host of a value found in a page or list, without ``www.``, user and port; null where that isn't a valid host."""
-    text = F.lower(strip(value))
-    host = F.when(F.contains(text, F.lit("://")), F.regexp_extract(text, r"^[a-z0-9+.-]*://([^/?#]*)", 1)).otherwise(F.regexp_extract(text, r"^([^/?#]*)", 1))
-    host = F.regexp_replace(strip(host), r"^[^@]*@", "")
-    host = F.regexp_replace(F.substring_index(host, ":", 1), r"^\.+|\.+$", "")
-    host = F.regexp_replace(host, r"^www\.", "")
-    return F.when(~text.rlike(r"^(?:mailto:|tel:|javascript:|#)") & valid_host(host), host)
+
+    def host_of(text: Column) -> Column:
+        host = F.when(F.contains(text, F.lit("://")), F.regexp_extract(text, r"^[a-z0-9+.-]*://([^/?#]*)", 1)).otherwise(F.regexp_extract(text, r"^([^/?#]*)", 1))
+        host = F.regexp_replace(strip(host), r"^[^@]*@", "")
+        host = F.regexp_replace(F.regexp_replace(F.substring_index(host, ":", 1), r"^\.+|\.+$", ""), r"^www\.", "")
+        return F.when(~text.rlike(r"^(?:mailto:|tel:|javascript:|#)"), host)
+
+    return let(let(F.lower(strip(value)), host_of), lambda h: F.when(valid_host(h), h))
 
 
 def _bare(value: Column) -> Column:

@@ -31,7 +31,7 @@ def _width_table() -> dict[str, str]:
 _TABLE = _width_table()
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -52,7 +52,7 @@ def canonical_host(value: Column) -> Column:
     edges = rf"^{_MARKS}*(?:[a-z][a-z0-9+.\-]*:/+{_MARKS}*)?(?:www\.(?=[^.]+\.))?|{_MARKS}+$"
     clean = value.rlike(r"^(?!www\.)[a-z0-9][a-z0-9.\-]*[a-z0-9]\z")
     bare = F.when(clean, value).otherwise(F.regexp_replace(plain(value), edges, ""))
-    return _let(bare, lambda x: F.when(F.instr(x, ".") > 1, x))
+    return let(bare, lambda x: F.when(F.instr(x, ".") > 1, x))
 
 
 def canonical_url(value: Column) -> Column:
@@ -71,18 +71,18 @@ def canonical_url(value: Column) -> Column:
     def query(x: Column) -> Column:
         sorted_fields = F.array_join(F.array_sort(F.filter(F.split(x, "&"), lambda f: f != "")), "&")
         fields = F.when(F.contains(x, F.lit("&")), sorted_fields).otherwise(x)
-        return _let(fields, lambda f: F.when(f != "", F.concat(F.lit("?"), f)).otherwise(""))
+        return let(fields, lambda f: F.when(f != "", F.concat(F.lit("?"), f)).otherwise(""))
 
     def head(x: Column) -> Column:
         parts = F.concat(path(F.substring_index(x, "?", 1)), query(F.regexp_replace(x, r"^[^?]*\?*", "")))
         return F.when(F.contains(x, F.lit("?")), parts).otherwise(path(x))
 
     def with_fragment(x: Column) -> Column:
-        fragment = _let(F.regexp_replace(x, "^[^#]*#*", ""), lambda f: F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""))
-        both = F.concat(_let(F.substring_index(x, "#", 1), head), fragment)
+        fragment = let(F.regexp_replace(x, "^[^#]*#*", ""), lambda f: F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""))
+        both = F.concat(let(F.substring_index(x, "#", 1), head), fragment)
         return F.when(F.contains(x, F.lit("#")), both).otherwise(head(x))
 
-    return _let(_let(_let(plain(value), whole), with_fragment), lambda x: F.when(x != "", x))
+    return let(let(let(plain(value), whole), with_fragment), lambda x: F.when(x != "", x))
 
 
 #: Every character that counts as white space at the ends of a value.
