@@ -51,7 +51,7 @@ def without_nulls(m: Column) -> Column:
 
 def display_list(a: Column) -> Column:
     """Trimmed members in their order, without blanks, nulls and repeats."""
-    return F.array_distinct(F.filter(F.transform(F.array_compact(a), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.array_compact(a), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def first_or_blank(text: Column) -> Column:

@@ -164,3 +164,27 @@ def last_page(text: Column) -> Column:
 
 def count_bucket(n: Column) -> Column:
     return F.when(n <= 0, None).when(n <= 50, "1-50").when(n <= 200, "51-200").when(n <= 1000, "201-1000").when(n > 1000, "1000+")
+
+
+#: Endings that hint at a country, and endings too large to be read whole from a paged index.
+ENDING_COUNTRIES = {"de": "DE", "at": "AT", "ch": "CH", "nl": "NL", "se": "SE", "ae": "AE", "us": "US", "fr": "FR", "it": "IT", "es": "ES", "pl": "PL"}
+OVERSIZED_ENDINGS = ("com", "net", "org", "de", "nl")
+
+
+def country_hint(domain: Column, plugins: Column) -> Column:
+    """The country a scanner's ``country`` plugin names with two letters, else the one that the ending hints at."""
+    named = F.upper(F.trim(F.coalesce(F.get_json_object(plugins["country"], "$.version[0]"), F.get_json_object(plugins["country"], "$.version"), F.get_json_object(plugins["country"], "$.value"))))
+    ending = F.create_map(*(F.lit(x) for pair in ENDING_COUNTRIES.items() for x in pair))[top_label(domain)]
+    return F.coalesce(F.when(F.length(named) == 2, named), ending)
+
+
+def endings(countries: list[str], given: list[str] | None = None) -> list[str]:
+    """The endings to read for some countries, in order and each once; oversized ones are passed over even if given."""
+    known = {v.lower(): k for k, v in ENDING_COUNTRIES.items()}
+    wanted = given or [known[c.lower()] for c in countries if c and c.lower() in known]
+    return [e for e in dict.fromkeys(wanted) if e not in OVERSIZED_ENDINGS]
+
+
+def product_links(links: Column) -> Column:
+    """How many addresses look like products; null for none."""
+    return F.nullif(F.size(F.filter(links, lambda u: F.lower(u).rlike("/product|/item|sku"))), F.lit(0))

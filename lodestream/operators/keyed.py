@@ -49,6 +49,14 @@ def new_rows(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     return df.join(known.select(*on), on, "left_anti")
 
 
+def where_given(df: DataFrame, filters: list[tuple[object, Column]]) -> DataFrame:
+    """``df`` under the conditions whose value is given; None, '' and an empty list leave a condition out."""
+    for value, condition in filters:
+        if value is not None and value != "" and value != []:
+            df = df.where(condition)
+    return df
+
+
 def suffix_matches(df: DataFrame, host: str, listed: DataFrame, name: str) -> DataFrame:
     """(host, listed) for each host that is listed or has a listed parent, with the longest one listed.
 

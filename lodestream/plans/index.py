@@ -156,7 +156,14 @@ def r_domain_overview(spark: SparkSession, folder: str) -> DataFrame:
 
 def r_domain_page(spark: SparkSession, folder: str) -> DataFrame:
     """The second page of domains under optional filters, newest first, with whether a crawl found them."""
-    d = table(spark, folder, "domains").where((F.upper("country") == "DE") & (F.col("confidence") >= 20) & F.contains(F.lower("normalized_domain"), F.lit("r")))
+    given = {"country": "de", "niche": None, "least": 20, "most": None, "word": "R"}
+    d = keyed.where_given(
+        table(spark, folder, "domains"),
+        [
+            (given["country"], F.upper("country") == F.upper(F.lit(given["country"]))), (given["niche"], F.col("niche") == F.lit(given["niche"])), (given["least"], F.col("confidence") >= F.lit(given["least"])),
+            (given["most"], F.col("confidence") <= F.lit(given["most"])), (given["word"], F.contains(F.lower("normalized_domain"), F.lower(F.lit(given["word"])))),
+        ],
+    )
     crawled = table(spark, folder, "domain_sources").where("source_type = 'common_crawl'").select(F.col("domain_id").alias("id"))
     return keyed.page_of(d.join(crawled, "id", "left_semi"), 2, 25, F.desc_nulls_last("updated_at"), F.desc("id")).select("id", "normalized_domain", "platform", F.col("confidence").cast("double").alias("confidence"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import json_docs, page_types, pages, signals, urls
 from lodestream.operators import checks
-from lodestream.plans.index_sql import _q, discovery
+from lodestream.plans.index_sql import _q, discovery, url_host
 from lodestream.sources.tables import table
 
 _STATUSES = ["pending", "queued", "crawling", "processed", "failed"]
@@ -67,13 +67,29 @@ def r_domain_products(spark: SparkSession, folder: str) -> DataFrame:
     return of.select("domain_id", "n", guess.alias("guess"), signals.count_bucket(guess).alias("bucket"))
 
 
+def r_country_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by the country that their scan or their host's ending hints at."""
+    rows = table(spark, folder, "page_bundles").select(signals.country_hint(urls.discovery_domain(urls.url_host(F.col("whatweb_target_url"))), F.col("whatweb_plugins")).alias("country"))
+    return rows.groupBy("country").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def r_product_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by how many of their links look like products, with the sizes in words."""
+    n = signals.product_links(F.coalesce("links", F.array()))
+    rows = table(spark, folder, "page_bundles").select(n.alias("n_links"), F.format_string("%d of %d", F.coalesce(n, F.lit(0)), F.size(F.coalesce("links", F.array()))).alias("said"))
+    return rows.groupBy("n_links", "said").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 _BROKEN = {
     "confidence": "confidence between 0 and 100", "country": "country is null or length(country) = 2", "domain": f"{discovery('normalized_domain')} is not null",
     "span": "last_seen_at is null or first_seen_at <= last_seen_at", "status": f"status in ({', '.join(map(_q, _STATUSES))})",
 }
 
-QUERIES = {f.__name__: f for f in (r_broken_rules, r_resolved_ids, r_patched, r_merged_documents, r_page_kinds, r_domain_products)}
+QUERIES = {f.__name__: f for f in (r_broken_rules, r_resolved_ids, r_patched, r_merged_documents, r_page_kinds, r_domain_products, r_country_hints, r_product_links)}
+_SITE = discovery(url_host("whatweb_target_url"))
 SQL = {
+    "r_country_hints": f"select case {' '.join(f"when split_part({_SITE}, '.', -1) = '{e}' then '{c}'" for e, c in signals.ENDING_COUNTRIES.items())} end as country, count(*) as n_pages from page_bundles group by 1",
+    "r_product_links": "with l as (select nullif(len(list_filter(coalesce(links, []), lambda u: regexp_matches(lower(u), '/product|/item|sku'))), 0)::int as n, len(coalesce(links, [])) as m from page_bundles) select n as n_links, coalesce(n, 0) || ' of ' || m as said, count(*) as n_pages from l group by 1, 2",
     "r_broken_rules": "select failed, count(*) as n_rows from (select array_to_string(list_filter([" + ", ".join(f"case when not coalesce({t}, false) then '{n}' end" for n, t in _BROKEN.items()) + "], lambda x: x is not null), '|') as failed from domains) group by 1",
     "r_resolved_ids": f"""with c as (select id, domain, {discovery('domain')} as h from common_crawl_domains), a as (select {discovery('normalized_domain')} as h, min(id) as i from domains group by 1), b as (select domain, min(id) as i from domains group by 1)
       select c.id as ccd_id, coalesce(a.i, b.i) as domain_id from c left join a on a.h = c.h left join b on b.domain = c.domain""",

@@ -69,6 +69,6 @@ def read_ranks(spark: SparkSession, path: str, most: int) -> DataFrame:
 
 def scanner_plugins(output: Column) -> Column:
     """The plugins of a scanner's first JSON line, names in lower case, values as JSON text; null where there is none."""
-    first = F.get(F.filter(F.transform(F.split(output, "\n"), F.trim), lambda x: x.rlike(r"^[\[{]")), F.lit(0))
+    first = F.get(F.filter(F.transform(F.split(output, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[\[{]")), F.lit(0))
     listed = F.get(F.from_json(F.when(first.startswith("["), first).otherwise(F.concat(F.lit("["), first, F.lit("]"))), "array<struct<target:string,plugins:map<string,string>>>"), F.lit(0))
     return F.transform_keys(F.map_filter(listed["plugins"], lambda k, _: F.trim(k) != ""), lambda k, _: F.lower(F.trim(k)))

@@ -62,3 +62,18 @@ def test_ids_resolve_by_the_first_way(spark, rows):
     df = spark.createDataFrame([(1, "a", "A"), (2, "z", "B"), (3, "z", "Z"), (4, None, None)], "r int, x string, y string")
     known = spark.createDataFrame([(10, "a", "B"), (11, "a", None), (12, "b", "B")], "id int, p string, q string")
     assert rows(checks.resolve(df, known, "r", [(F.col("x"), F.col("p")), (F.col("y"), F.col("q"))])) == [(1, 10), (2, 10), (3, None), (4, None)]
+
+
+def test_countries_and_endings(spark):
+    from lodestream.functions import signals
+
+    df = spark.createDataFrame([("a.de", {"country": '{"version": ["at"]}'}), ("a.de", {"country": '{"version": "Austria"}'}), ("a.pl", {}), ("a.com", None), (None, {"country": '{"version": " ch "}'})], "d string, p map<string,string>")
+    assert [r[0] for r in df.select(signals.country_hint(F.col("d"), F.col("p"))).collect()] == ["AT", "DE", "PL", None, "CH"]
+    assert signals.endings(["DE", "at", "xx", "at", "ch"]) == ["at", "ch"] and signals.endings([], ["com", "io", "io"]) == ["io"]
+
+
+def test_filters_without_a_value_are_left_out(spark):
+    from lodestream.operators.keyed import where_given
+
+    df = spark.range(10)
+    assert where_given(df, [(None, F.col("id") < 0), ("", F.col("id") < 0), ([], F.col("id") < 0), (0, F.col("id") > 3)]).count() == 6
