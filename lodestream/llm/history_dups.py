@@ -95,28 +95,72 @@ def _variants(length: int) -> int:
     return 1 + length + length * (length - 1) // 2 if length <= LONGEST else (2 * EDITS + 1) ** 2 * (EDITS + 1)
 
 
+def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, place of their record in the batch) in blocks of bounded size; each chunk once for each record."""
+    tail = batch.column("tail").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    stems = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in batch.column("stem").to_pylist()]
+    sizes = np.array([len(s) for s in stems])
+    for length in np.unique(sizes):
+        of = np.flatnonzero(sizes == length)
+        step = max(1, 400_000 // _variants(int(length)))
+        for k in range(0, len(of), step):
+            some = of[k : k + step]
+            codes = np.stack([stems[i] for i in some])
+            both = [f(codes) for f, used in ((gapped_hashes, length <= LONGEST), (piece_hashes, length > LONGEST - EDITS)) if used]
+            with np.errstate(over="ignore"):
+                mixed = np.sort(_mix(np.concatenate(both, axis=1) + tail[some][:, None]).view(np.int64), axis=1)
+            new = np.ones(mixed.shape, bool)  # a run of one letter gives the same chunk for each of its letters
+            new[:, 1:] = mixed[:, 1:] != mixed[:, :-1]
+            yield mixed[new], np.repeat(some, new.sum(axis=1))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hid, era = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hid", "era"))
-        tail = batch.column("tail").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        stems = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in batch.column("stem").to_pylist()]
-        sizes = np.array([len(s) for s in stems])
-        for length in np.unique(sizes):
-            of = np.flatnonzero(sizes == length)
-            variants = _variants(int(length))
-            step = max(1, 400_000 // variants)
-            for k in range(0, len(of), step):
-                some = of[k : k + step]
-                codes = np.stack([stems[i] for i in some])
-                both = [f(codes) for f, used in ((gapped_hashes, length <= LONGEST), (piece_hashes, length > LONGEST - EDITS)) if used]
-                hashes = np.concatenate(both, axis=1)
-                with np.errstate(over="ignore"):
-                    mixed = np.sort(_mix(hashes + tail[some][:, None]).view(np.int64), axis=1)
-                new = np.ones(mixed.shape, bool)  # a run of one letter gives the same chunk for each of its letters
-                new[:, 1:] = mixed[:, 1:] != mixed[:, :-1]
-                times = new.sum(axis=1)
-                columns = [mixed[new], np.repeat(hid[some], times), np.repeat(era[some], times).astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["chunk", "hid", "era"])
+        for chunk, place in _hashed(batch):
+            yield pa.record_batch([pa.array(chunk), pa.array(hid[place]), pa.array(era[place].astype(np.int32))], names=["chunk", "hid", "era"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, block): the chunks of many records, divided by chunk into parts; one block instead of thousands of rows."""
+    for batch in batches:
+        hid, era = batch.column("hid").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("era").to_numpy(zero_copy_only=False).astype(np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for one in _hashed(batch):
+            held.append(one)
+            if sum(len(c) for c, _ in held) > 1_500_000:
+                yield from _blocks(held, hid, era, parts)
+                held = []
+        if held:
+            yield from _blocks(held, hid, era, parts)
+
+
+def _blocks(held: list, hid: np.ndarray, era: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    chunk, place = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(chunk)
+    chunk, place = chunk[order], place[order]
+    part = (chunk.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    for i in np.flatnonzero(ends[1:] > ends[:-1]):
+        at = order[ends[i] : ends[i + 1]]
+        rows, index = np.unique(place[at], return_inverse=True)
+        kind = np.uint16 if len(rows) < 1 << 16 else np.uint32
+        head = np.array([len(at), len(rows), kind().itemsize], np.int64)
+        # Sorted numbers by planes of bytes: the upper planes hardly change, so the shuffle compresses them.
+        planes = np.ascontiguousarray(chunk[at].view(np.uint8).reshape(-1, 8).T)
+        block = b"".join(x.tobytes() for x in (head, hid[rows], era[rows], planes, index.astype(kind)))
+        yield pa.record_batch([pa.array([int(i)], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, rows, size = np.frombuffer(block, np.int64, 3)
+    at = 24
+    hid = np.frombuffer(block, np.int64, rows, at)
+    era = np.frombuffer(block, np.int32, rows, at := at + 8 * int(rows))
+    planes = np.frombuffer(block, np.uint8, 8 * int(n), at := at + 4 * int(rows))
+    index = np.frombuffer(block, np.uint16 if size == 2 else np.uint32, n, at + 8 * int(n))
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel(), hid[index], era[index]
 
 
 def records(df: DataFrame, key: Column, era: Column) -> DataFrame:
@@ -127,14 +171,18 @@ def records(df: DataFrame, key: Column, era: Column) -> DataFrame:
     return materialize(split.withColumn("hid", F.monotonically_increasing_id()), "hosts")
 
 
+def _with_stem(hosts: DataFrame) -> DataFrame:
+    return hosts.select("hid", F.coalesce("era", F.lit(2**31 - 1)).alias("era"), "stem", "tail")
+
+
 def chunks(hosts: DataFrame) -> DataFrame:
     """The gapped chunks of records: (chunk, hid, era)."""
-    return hosts.select("hid", F.coalesce("era", F.lit(2**31 - 1)).alias("era"), "stem", "tail").mapInArrow(_chunks, _CHUNK_SCHEMA)
+    return _with_stem(hosts).mapInArrow(_chunks, _CHUNK_SCHEMA)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of records of different eras that share a chunk, in one hash partition of the chunks."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+    parts = [_unpacked(block) for b in batches for block in b.column("block").to_pylist()]
     if not parts:
         return
     chunk, hid, era = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -188,7 +236,8 @@ def repeats(df: DataFrame, key: Column, era: Column, row_id: str) -> DataFrame:
     hosts = records(rows, F.col("host"), F.col("era"))
     total = hosts.select(F.sum(F.expr(f"if(length(stem) <= {LONGEST}, 1 + length(stem) + length(stem) * (length(stem) - 1) div 2, {_variants(LONGEST + 1)})"))).first()[0] or 0
     tasks = max(shuffle_partitions(spark), -(-total // _PER_TASK))
-    pairs = chunks(hosts).repartition(tasks, "chunk").mapInArrow(_pairs, "late bigint, early bigint")
+    packed = _with_stem(hosts).mapInArrow(lambda batches: _packed(batches, tasks), "part int, block binary")
+    pairs = packed.repartitionById(tasks, "part").mapInArrow(_pairs, "late bigint, early bigint")
     near = _verified(pairs, hosts, hosts)
     seen = hosts.join(near, "hid", "left").select("host", F.least("era", "near_era").alias("first_era"))
     own = F.coalesce("era", F.lit(1))
