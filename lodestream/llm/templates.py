@@ -71,7 +71,7 @@ _ERROR = [
     r"^\W*0+\W+not found\b", r"^\W*(?:error|fehler|erreur) 0+\W*$", r"\bsomething (?:went wrong|broke)\b", r"\bunexpected (?:exception|error) occurred\b", r"\bservice (?:temporarily )?unavailable\b", r"\bserver is overloaded\b",
     r"\bbad gateway\b", r"\bgave no valid answer\b", r"\bgateway time-?out\b", r"\bserver did not answer in time\b", r"\btoo many requests\b", r"\baccess denied\b", r"\b0+ forbidden\b", r"\brequest was blocked by\b",
     r"\bzugriff verweigert\b", r"\bkeine berechtigung\b", r"\baccount suspended\b", r"\bhosting account\b.{0,80}\bswitched off\b", r"\bdomain parked\b", r"\bregistered but has no website\b", r"\bdatabase error\b",
-    r"\bestablish(?:ing)? a (?:connection to the )?database\b", r"\bconnection to the database\b", r"^fatal error: ", r"^warning: undefined\b", r"\ballowed memory size of\b", r"\bsitzung (?:ist )?abgelaufen\b", r"\bsession (?:has )?expired\b",
+    r"\bestablish(?:ing)? a (?:connection to the )?database\b", r"\bconnection to the database\b", r"(?:^|[:*] )fatal error: ", r"(?:^|[:*] )warning: undefined\b", r"\ballowed memory size of\b", r"\bsitzung (?:ist )?abgelaufen\b", r"\bsession (?:has )?expired\b",
     r"^\W*wartungsarbeiten\W*$", r"\bwird gerade gewartet\b", r"\bin kürze wieder erreichbar\b", r"\b(?:down for|under|scheduled) maintenance\b", r"\ben maintenance\b", r"\bin manutenzione\b", r"\bin onderhoud\b", r"\ben mantenimiento\b", r"\binternal server error\b",
 ]
 _SCRIPT = [

@@ -30,7 +30,7 @@ ERRORS = {
     "<html><head><title>Wartungsarbeiten</title></head><body>Unser Shop wird gerade gewartet.</body></html>": True,
 }
 ENTRIES = {
-    "blog:%s": True, "wiki:{}": True, "{0}": True, "domain_token:<PATTERN>": True, "wiki:&lt;city&gt;": True, "blog:Please enable JavaScript to view this shop.": True, "adult_page:Your text goes here.": True,
+    "blog:%s": True, "wiki:{}": True, "{0}": True, "domain_token:<PATTERN>": True, "wiki:&lt;city&gt;": True, "blog:Please enable JavaScript to view this shop.": True, "adult_page:Your text goes here.": True, "wiki:a.de: Warning: Undefined index: x in /srv/y.php on line 3": True, "a.de: Fatal error: out of memory": True,
     r"blog:/stories/(?!\d{2})": False, "wiki:title=[^&]{1,40}:index": False, "blog:404-stories": False, r"blog:<feed\b": False, "domain_token:forum": False, r"x:\p{Lu}{3}": False, "": False,
 }
 
