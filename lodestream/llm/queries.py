@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     ccd, domains = table(spark, folder, "common_crawl_domains"), table(spark, folder, "domains")
     names = sorted(r[0] for r in ccd.select("crawl_id").where("crawl_id is not null").distinct().collect())  # one name for each batch
     eras = F.broadcast(spark.createDataFrame(list(zip(names, range(1, len(names) + 1), strict=True)), "crawl_id string, era int"))
-    new = ccd.join(eras, "crawl_id", "left").select("id", canonical_host(F.col("domain")).alias("host"), "era")
+    new = ccd.select("id", canonical_host(F.col("domain")).alias("host"), "crawl_id").join(eras, "crawl_id", "left").select("id", "host", "era")
     old = domains.select(F.lit(None).cast("bigint").alias("id"), canonical_host(F.col("normalized_domain")).alias("host"), F.lit(0).alias("era"))
     return history_dups.repeats(old.unionByName(new), F.col("host"), F.col("era"), "id").withColumnRenamed("row_id", "ccd_id")
 
@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The record that gives each field of each group's survivor."""
     trust = F.broadcast(table(spark, folder, "source_trust").select(trimmed_lower(F.col("source_type")).alias("trusted"), "trust_rank"))  # a fixed table of ten rows
-    sources = table(spark, folder, "domain_sources")
+    sources = table(spark, folder, "domain_sources").select("id", "domain_id", "source_type", "source_reference", "discovered_at", "context")
     ranked = sources.join(trust, trimmed_lower(sources["source_type"]) == trust["trusted"], "left")
     has = {"source_type": F.col("source_type").isNotNull()} | survivor.json_fields(F.col("context"), _CONTEXT)
     key = F.when(F.col("domain_id").isNotNull() & F.col("source_reference").isNotNull(), F.struct("domain_id", "source_reference"))
