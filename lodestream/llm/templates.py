@@ -7,6 +7,8 @@ message to a leaf; a token that most of a leaf's messages share at a position is
 wildcards. Leaves and positions are aggregated, never collected, so their size doesn't matter. A message
 takes the leaf's template where that is specific (at least half of it constant) and fits; otherwise it's a
 template of its own. Each template is classified once, and its verdict propagates to all messages it covers.
+A mined wildcard may stand for the very words that decide, so a message whose template has any is classified
+by itself as well, once for all its copies; both verdicts count.
 
 Unresolved slots ({{ name }}, %NAME%, <%= name %> and the like) are looked for in every message by itself,
 since they stand inside ordinary text.
@@ -26,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.session import materialize
@@ -171,12 +173,20 @@ def templates(messages: DataFrame) -> DataFrame:
     return both.select("masked", F.when(fits & specific, F.array_join("pattern", " ")).otherwise(F.col("masked")).alias("template"))
 
 
+def _kind(column: str) -> Column:
+    return F.coalesce(*(F.when(F.col(column).rlike("|".join(p)), F.lit(name)) for name, p in _CLASSES.items()))
+
+
 def verdicts(messages: DataFrame) -> DataFrame:
-    """(masked, verdict) of the messages whose template is filler, an error or a script notice."""
+    """(masked, verdict) of the messages that are filler, an error or a script notice by their template or, where that has mined wildcards, by themselves.
+
+    A message has two rows where these differ.
+    """
     of = templates(messages)
-    kind = F.coalesce(*(F.when(F.col("template").rlike("|".join(p)), F.lit(name)) for name, p in _CLASSES.items()))
-    once = of.select("template").distinct().select("template", kind.alias("verdict")).where("verdict is not null")
-    return of.join(once, "template").select("masked", "verdict")
+    once = of.select("template").distinct().select("template", _kind("template").alias("verdict")).where("verdict is not null")
+    own = F.when(F.col("masked") != F.col("template"), _kind("masked"))
+    both = of.join(once, "template", "left").select("masked", F.array_distinct(F.array_compact(F.array("verdict", own))).alias("verdicts"))
+    return both.select("masked", F.explode("verdicts").alias("verdict"))
 
 
 def residue(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:

@@ -54,6 +54,21 @@ def test_templates_are_mined(spark):
     assert {r.template for r in templates.templates(df).collect()} == {"error while reading file * today"}
 
 
+def test_words_that_vary_in_a_leaf_decide_too(spark):
+    said = ["nullo vestra lorem ipsum", "nullo vestra sed amet", "nullo vestra vel quam"]  # leaf of filler and others: nullo vestra * *
+    said += ["our shop is down for maintenance", "our shop is open on sundays", "our shop is new in town"]
+    said += ["please do enable javascript now", "please do enable javascript here", "please do enable javascript, lorem ipsum"]
+    df = spark.createDataFrame([(m, 1) for m in said], "masked string, n int")
+    of = {r.masked: r.template for r in templates.templates(df).collect()}
+    assert of[said[0]] == "nullo vestra * *" and of[said[3]] == "our shop is * * *"
+    got = sorted((r.masked, r.verdict) for r in templates.verdicts(df).collect())
+    assert got == sorted([(said[0], "filler"), (said[3], "error"), (said[6], "script"), (said[7], "script"), (said[8], "filler")])
+
+    page = "<html><body><h2>{}</h2><p>Solid oak table, seats six people.</p></body></html>"
+    pages = spark.createDataFrame([(i, page.format(m)) for i, m in enumerate(said)], "rec bigint, html string")
+    assert {r.rec for r in templates.residue(pages, "rec", ["html"]).collect()} == {0, 8}  # a notice beside content is no case
+
+
 @pytest.mark.parametrize(("message", "masked"), [("Wait 5 seconds, a1b2 at shop.de", "wait 0 seconds, * at *"), ("Error 503", "error 0")])
 def test_masks(message, masked):
     assert templates.mask(message) == masked
