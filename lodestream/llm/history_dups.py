@@ -1,8 +1,10 @@
 """Checking new batches for exact and near duplicates against all that was accepted before.
 
-A persistent table maps chunk hashes to records. A new batch computes the chunks of its own keys only,
-looks them up, totals the shared characters of each pair, decides by coverage, verifies the pairs that
-pass exactly, and appends its chunks.
+``repeats`` decides all batches in one pass: it makes the chunks of each distinct key once, pairs the keys
+that share a chunk and verifies each pair exactly; nothing is kept between runs. ``ChunkStore``, for batches
+that arrive one by one, keeps a persistent table of chunks: a batch computes the chunks of its own keys only,
+looks them up, verifies the pairs exactly and appends its chunks. Neither totals shared characters nor
+compares coverage: a shared gapped chunk implies it (see below), and every pair is verified.
 
 Two keys are nearly equal when their endings (after the last dot) are equal and their stems differ by at
 most two insertions, deletions or replacements. Content-defined cut points can't promise to find these:
