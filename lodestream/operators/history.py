@@ -1,7 +1,7 @@
 """History of changing attributes: type-two dimensions that hold every version with its period.
 
-A version starts at an entity's first observation and wherever the attribute's hash differs from
-the version before it; it is valid until the next version starts (``valid_to``; null while open).
+A version starts at an entity's first observation and wherever the attribute's hash, or behind an
+equal hash the value, differs from the version before it; it is valid until the next version starts (``valid_to``; null while open).
 ``seen_until`` is the last observation that confirmed the version.
 
 Defined results: observations whose entity, value or time is null are disregarded; of several with
@@ -26,6 +26,10 @@ from lodestream.session import materialize
 COLUMNS = ["entity", "value", "attr_hash", "valid_from", "valid_to", "seen_until", "is_current"]
 
 
+def attr_hash(value: str) -> Column:
+    return F.xxhash64(value)
+
+
 def observations(df: DataFrame, entity: str, value: Column, at: str, row_id: str) -> DataFrame:
     """(entity, value, at, row_id): one observation for each entity and time, the one with the highest id.
 
@@ -46,24 +50,24 @@ def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out_schema, strict=False)]
         numbers = pa.array(range(ordinal, ordinal + len(rows)), pa.int64())
         ordinal += len(rows)
-        return pa.record_batch([*cols, pa.array([pid] * len(rows), pa.int32()), numbers, pa.array([tail] * len(rows))], names=["entity", "value", "valid_from", "seen_until", "valid_to", "pid", "ordinal", "is_tail"])
+        return pa.record_batch([*cols, pa.array([pid] * len(rows), pa.int32()), numbers, pa.array([tail] * len(rows))], names=["entity", "attr_hash", "value", "valid_from", "seen_until", "valid_to", "pid", "ordinal", "is_tail"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        entity, value, at = (flat(batch.column(c)) for c in ("entity", "value", "at"))
-        out_schema = out_schema or [pa.field("e", entity.type), pa.field("v", value.type), *(pa.field(n, at.type) for n in "abc")]
-        new = starts([entity, value], held and (held[0], held[1]))
+        entity, hashed, value, at = (flat(batch.column(c)) for c in ("entity", "attr_hash", "value", "at"))
+        out_schema = out_schema or [pa.field("e", entity.type), pa.field("h", hashed.type), pa.field("v", value.type), *(pa.field(n, at.type) for n in "abc")]
+        new = starts([entity, hashed, value], held and held[:3])
         at_py = [*new.nonzero()[0].tolist(), batch.num_rows]
         if held is not None and at_py[0] > 0:
-            held = (*held[:3], at[at_py[0] - 1].as_py())
+            held = (*held[:4], at[at_py[0] - 1].as_py())
         rows = []
         first = pa.array(at_py[:-1], pa.int64())
         last = pa.array([i - 1 for i in at_py[1:]], pa.int64())
-        for e, v, a, s in zip(entity.take(first).to_pylist(), value.take(first).to_pylist(), at.take(first).to_pylist(), at.take(last).to_pylist(), strict=True):
+        for e, h, v, a, s in zip(entity.take(first).to_pylist(), hashed.take(first).to_pylist(), value.take(first).to_pylist(), at.take(first).to_pylist(), at.take(last).to_pylist(), strict=True):
             if held is not None:
                 rows.append((*held, a if held[0] == e else None))
-            held = (e, v, a, s)
+            held = (e, h, v, a, s)
         if rows:
             yield emit(rows, False)
     if held is not None:
@@ -82,7 +86,8 @@ def _stitched(edges: list) -> list[tuple]:
         if r.is_tail:
             p["tail"] = r
     order, out = sorted(parts), []
-    drop = {p: i > 0 and (t := parts[order[i - 1]]["tail"]).entity == parts[p]["head"].entity and t.value == parts[p]["head"].value for i, p in enumerate(order)}
+    same = lambda t, h: (t.entity, t.attr_hash, t.value) == (h.entity, h.attr_hash, h.value)
+    drop = {p: i > 0 and same(parts[order[i - 1]]["tail"], parts[p]["head"]) for i, p in enumerate(order)}
     closes, seen = None, None  # of an open version before the partition that is looked at next
     following = None
     for p in reversed(order):
@@ -108,14 +113,14 @@ def history(seen: DataFrame, partitions: int | None = None) -> DataFrame:
     the driver are at most three rows for each partition.
     """
     spark, kinds = seen.sparkSession, {f.name: f.dataType for f in seen.schema}
-    schema = T.StructType([T.StructField(n, t) for n, t in (("entity", kinds["entity"]), ("value", kinds["value"]), *((n, kinds["at"]) for n in ("valid_from", "seen_until", "valid_to")), ("pid", T.IntegerType()), ("ordinal", T.LongType()), ("is_tail", T.BooleanType()))])
-    rows = materialize(ranged(seen.select("entity", "value", "at"), ["entity"], ["at"], partitions).mapInArrow(_versions, schema), "versions")
+    schema = T.StructType([T.StructField(n, t) for n, t in (("entity", kinds["entity"]), ("attr_hash", T.LongType()), ("value", kinds["value"]), *((n, kinds["at"]) for n in ("valid_from", "seen_until", "valid_to")), ("pid", T.IntegerType()), ("ordinal", T.LongType()), ("is_tail", T.BooleanType()))])
+    rows = materialize(ranged(seen.select("entity", attr_hash("value").alias("attr_hash"), "value", "at"), ["entity"], ["at"], partitions).mapInArrow(_versions, schema), "versions")
     fixes = _stitched(rows.where("ordinal < 2 or is_tail").collect())
     fix = spark.createDataFrame(fixes, T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("drop_head", T.BooleanType()), T.StructField("tail_to", kinds["at"]), T.StructField("tail_seen", kinds["at"])]))
     whole = rows.join(F.broadcast(fix), "pid").where("not (ordinal = 0 and drop_head)")
     to = F.when(F.col("is_tail"), F.coalesce("valid_to", "tail_to")).otherwise(F.col("valid_to"))
     return whole.select(
-        "entity", "value", F.xxhash64("value").alias("attr_hash"), "valid_from", to.alias("valid_to"),
+        "entity", "value", "attr_hash", "valid_from", to.alias("valid_to"),
         F.when(F.col("is_tail"), F.coalesce("tail_seen", "seen_until")).otherwise(F.col("seen_until")).alias("seen_until"), to.isNull().alias("is_current"),
     )
 

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from lodestream.operators import history as H
 from lodestream.operators.history import history, merge_history, observations
 
 T0 = datetime(2025, 1, 1)
@@ -55,6 +56,15 @@ def test_one_entity_with_one_value_over_many_partitions(spark, rows):
     assert got == [(7, "same", at(0), None, at(199))]
 
 
+def test_hashes_are_compared_and_values_behind_equal_ones(spark, rows, monkeypatch):
+    data = made(8, 200)
+    monkeypatch.setattr(H, "attr_hash", lambda value: F.lit(1).cast("long"))
+    assert rows(history(obs(spark, data), 5), *COLUMNS) == brute(data)
+    monkeypatch.setattr(H, "attr_hash", lambda value: F.xxhash64("at"))
+    got = history(obs(spark, [(7, "same", h, h) for h in range(20)]), 3)
+    assert rows(got, "value", "valid_from") == sorted([("same", at(h)) for h in range(20)], key=repr)
+
+
 def test_ties_repeats_and_empty(spark, rows):
     data = [(1, "x", 0, 1), (1, "y", 0, 2), (1, "y", 0, 2), (1, "y", 3, 3), (None, "z", 0, 4), (1, None, 1, 5), (1, "q", None, 6)]
     assert rows(history(obs(spark, data)), *COLUMNS) == [(1, "y", at(0), None, at(3))]
