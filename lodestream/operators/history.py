@@ -2,7 +2,8 @@
 
 A version starts at an entity's first observation and wherever the attribute's hash, or behind an
 equal hash the value, differs from the version before it; it is valid until the next version starts (``valid_to``; null while open).
-``seen_until`` is the last observation that confirmed the version.
+``seen_until`` is the last observation that confirmed the version. ``merge_history`` merges one batch after another
+into a ``Dimension``; ``history`` is the fold of sorted ranges that it uses to reduce a batch to runs.
 
 Defined results: observations whose entity, value or time is null are disregarded; of several with
 the same entity and time only the one with the highest id counts; repeated rows change nothing; an
@@ -13,6 +14,8 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.operators.keyed import small_or_shuffled
 from lodestream.operators.runs import flat, ranged, starts
 from lodestream.session import materialize
 
@@ -125,30 +129,68 @@ def history(seen: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
-def merge_history(dimension: DataFrame, log: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge new ``observations`` into a dimension; gives the new dimension and the new log.
+@dataclass(frozen=True)
+class Dimension:
+    """A type-two dimension as its merges leave it: nothing that was written is ever rewritten but the open versions.
 
-    Entities whose updates are all later than what was seen are compared by hash with their open
-    version alone: equal ones only move ``seen_until``, changed ones close the open version and insert
-    new ones. Entities with a late or corrected observation are replayed from the log, which is read
-    for those entities only. All other entities pass through unchanged.
+    ``current`` has the open version of each entity; ``closed`` the closed versions and ``log`` the observations
+    that each merge appended; ``void`` the entities that a merge replayed, whose versions closed by earlier
+    merges count no longer. Null ``current`` is a dimension before its first merge.
     """
-    from_updates = updates.groupBy("entity").agg(F.min("at").alias("first_at"))
-    current = dimension.where("is_current")
-    touched = from_updates.join(current.select("entity", "seen_until"), "entity", "left")
-    touched = materialize(touched.select("entity", (F.col("first_at") <= F.col("seen_until")).alias("late"), F.col("seen_until").isNull().alias("new")), "touched")
-    late, ahead = touched.where("late"), touched.where("new or not late")
-
-    opened = current.join(ahead, "entity", "left_semi")
-    as_seen = opened.select("entity", "value", F.col("valid_from").alias("at"), F.lit(None).cast("long").alias("row_id"))
-    columns = ["entity", "value", "at", F.col("row_id").cast("long").alias("row_id")]
-    events = as_seen.unionByName(updates.join(ahead, "entity", "left_semi").select(*columns))
-    replay = log.join(late, "entity", "left_semi").select(*columns).unionByName(updates.join(late, "entity", "left_semi").select(*columns))
-    again = observations(replay, "entity", F.col("value"), "at", "row_id").unionByName(events)
-    kept = dimension.join(touched, "entity", "left_anti").unionByName(dimension.where("not is_current").join(ahead, "entity", "left_semi"))
-    confirmed = opened.select("entity", F.col("valid_from").alias("kept_from"), F.col("seen_until").alias("kept_seen"))
-    fresh = history(again).join(confirmed, "entity", "left")
-    same = F.col("valid_from") == F.col("kept_from")
-    fresh = fresh.withColumn("seen_until", F.when(same, F.greatest("seen_until", "kept_seen")).otherwise(F.col("seen_until")))
-    both = log.select(*columns).unionByName(updates.select(*columns))
-    return kept.select(*COLUMNS).unionByName(fresh.select(*COLUMNS)), observations(both, "entity", F.col("value"), "at", "row_id")
+
+    current: DataFrame | None = None
+    closed: tuple[DataFrame, ...] = ()
+    void: tuple[DataFrame, ...] = ()
+    log: tuple[DataFrame, ...] = ()
+
+    def versions(self) -> DataFrame:
+        """All versions; see the module for the columns."""
+        if self.current is None:
+            raise ValueError("nothing has been merged yet")
+        closed = reduce(DataFrame.unionByName, (df.withColumn("_no", F.lit(i)) for i, df in enumerate(self.closed)))
+        if self.void:
+            void = reduce(DataFrame.unionByName, self.void).groupBy("entity").agg(F.max("_void").alias("_void"))
+            closed = closed.join(small_or_shuffled(void), "entity", "left").where("_void is null or _no >= _void")
+        return closed.select(*COLUMNS).unionByName(self.current.select(*COLUMNS))
+
+
+def _closed_and_open(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    fresh = fresh.select(*COLUMNS[:-1], F.col("valid_to").isNull().alias("is_current"))
+    return fresh.where("not is_current"), fresh.where("is_current")
+
+
+def merge_history(dimension: Dimension, updates: DataFrame, partitions: int | None = None) -> Dimension:
+    """The type-two merge of a batch of ``observations`` into a dimension.
+
+    The batch is reduced to runs of equal values. An entity's first run is compared by attribute hash (and by
+    value behind equal hashes) with its open version: an equal one goes on, a changed one is closed where
+    the run starts, and open versions are inserted for what follows. Only the open versions are read. Entities
+    with an observation that isn't later than all seen before are replayed from the log, which is read for
+    those alone; where a batch has none, neither log nor closed versions are read.
+    """
+    no = len(dimension.log)
+    updates = materialize(updates.select("entity", "value", "at", F.col("row_id").cast("long").alias("row_id")), "log")
+    if dimension.current is None:
+        closed, current = _closed_and_open(materialize(history(updates, partitions), "merged"))
+        return Dimension(current, (closed,), (), (updates,))
+    opened = dimension.current.select("entity", F.struct("value", "attr_hash", "valid_from", "seen_until").alias("opened"))
+    first = updates.groupBy("entity").agg(F.min("at").alias("first_at"))
+    touched = materialize(first.join(opened, "entity").withColumn("late", F.col("first_at") <= F.col("opened.seen_until")), "touched")
+    events, void = updates, dimension.void
+    if not touched.where("late").isEmpty():
+        late = touched.where("late").select("entity")
+        few = small_or_shuffled(late)
+        whole = reduce(DataFrame.unionByName, (*dimension.log, updates)).join(few, "entity", "left_semi")
+        events = updates.join(few, "entity", "left_anti").unionByName(observations(whole, "entity", F.col("value"), "at", "row_id"))
+        void = (*void, late.withColumn("_void", F.lit(no)))
+    # Joined on entity and time, so an entity with very many runs is no burden.
+    ahead = touched.where("not late").select(F.col("entity").alias("_entity"), F.col("first_at").alias("_at"), "opened")
+    runs = history(events, partitions)
+    runs = runs.join(ahead, (runs["entity"] == ahead["_entity"]) & (runs["valid_from"] == ahead["_at"]), "left")
+    same = (F.col("attr_hash") == F.col("opened.attr_hash")) & (F.col("value") == F.col("opened.value"))
+    own = F.struct("entity", "value", "attr_hash", F.when(same, F.col("opened.valid_from")).otherwise(F.col("valid_from")).alias("valid_from"), "valid_to", "seen_until")
+    before = F.struct("entity", F.col("opened.value").alias("value"), F.col("opened.attr_hash").alias("attr_hash"), F.col("opened.valid_from").alias("valid_from"), F.col("valid_from").alias("valid_to"), F.col("opened.seen_until").alias("seen_until"))
+    rows = runs.select(F.explode(F.when(F.col("opened").isNotNull() & ~same, F.array(before, own)).otherwise(F.array(own))).alias("v")).select("v.*")
+    closed, fresh = _closed_and_open(materialize(rows, "merged"))
+    current = dimension.current.join(touched.select("entity"), "entity", "left_anti").unionByName(fresh)
+    return Dimension(materialize(current, "current"), (*dimension.closed, closed), void, (*dimension.log, updates))

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.urls import parents
+from lodestream.session import materialize
 
-#: Rows of one short string each that may be broadcast; beyond, the join shuffles.
-MOST_BROADCAST_ROWS = 500_000
+#: Rows, and bytes of them, that may be broadcast; beyond either, the join shuffles.
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 500_000, 32 * 2**20
 
 
-def small_or_shuffled(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcasting if it has been counted to have at most ``most`` rows."""
-    few = df.limit(most + 1).count() <= most
-    return F.broadcast(df) if few else df
+def small_or_shuffled(df: DataFrame, most: int = MOST_BROADCAST_ROWS, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """``df``, written once, and marked for broadcasting if it has been measured to have at most ``most`` rows and ``most_bytes`` bytes as text."""
+    df = materialize(df, "names")
+    head = df.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("size")).first()
+    return F.broadcast(df) if head.n <= most and (head.size or 0) <= most_bytes else df
 
 
 def latest(df: DataFrame, key: str, at: str, row_id: str) -> DataFrame:

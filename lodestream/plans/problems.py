@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions.writing import trimmed_lower
 from lodestream.operators.balanced import heavy_keys, key_states
-from lodestream.operators.history import history, observations
+from lodestream.operators.history import Dimension, merge_history, observations
+from lodestream.session import materialize
 from lodestream.sources.tables import table
 
 
+#: Batches in which the logs are merged, in order of loading (ids number it).
+BATCHES = 3
+
+
+def _merged(df: DataFrame, value: str, at: str, row_id: str) -> DataFrame:
+    """The versions after merging a log batch by batch, in the order in which it was loaded."""
+    first, last = df.agg(F.min(row_id), F.max(row_id)).first()
+    step = ((last or 0) - (first or 0)) // BATCHES + 1
+    of = F.coalesce(F.floor((F.col(row_id) - (first or 0)) / step), F.lit(0))
+    dimension = Dimension()
+    for i in range(BATCHES):
+        dimension = merge_history(dimension, observations(df.where(of == i), "domain_id", trimmed_lower(F.col(value)), at, row_id))
+    return dimension.versions()
+
+
 def _histories(spark: SparkSession, folder: str) -> DataFrame:
-    status = observations(table(spark, folder, "domain_status_snapshots"), "domain_id", trimmed_lower(F.col("status")), "snapshot_at", "snapshot_id")
-    platform = observations(table(spark, folder, "domain_fingerprints"), "domain_id", trimmed_lower(F.col("platform")), "detected_at", "id")
-    both = (history(seen).withColumn("attribute", F.lit(name)) for name, seen in (("status", status), ("platform", platform)))
+    logs = (("status", "domain_status_snapshots", "snapshot_at", "snapshot_id"), ("platform", "domain_fingerprints", "detected_at", "id"))
+    with ThreadPoolExecutor(len(logs)) as pool:  # the two logs don't depend on each other, so their jobs share the cluster
+        done = list(pool.map(lambda log: _merged(table(spark, folder, log[1]), log[0], *log[2:]), logs))
+    both = (h.withColumn("attribute", F.lit(log[0])) for h, log in zip(done, logs, strict=True))
     first, second = (h.withColumnsRenamed({"entity": "domain_id", "value": "attr_value"}) for h in both)
     return first.unionByName(second)
 
@@ -41,7 +60,12 @@ def _key_tables(spark: SparkSession, folder: str):
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The values with at least a fiftieth of all rows of their table."""
-    out = [heavy_keys(key_states(df, key, at, rid), df.count(), 0.02).select(F.lit(name).alias("field_name"), F.col("key").alias("key_value")) for name, df, key, at, rid in _key_tables(spark, folder)]
+    out = []
+    for name, df, key, at, rid in _key_tables(spark, folder):
+        states = materialize(key_states(df, key, at, rid), "keys")
+        # All rows are those of the states and the ones without a key; only the latter are counted anew, from the key alone.
+        total = (states.agg(F.sum("n_rows")).first()[0] or 0) + df.where(key.isNull()).count()
+        out.append(heavy_keys(states, total, 0.02).select(F.lit(name).alias("field_name"), F.col("key").alias("key_value")))
     return out[0].unionByName(out[1])
 
 

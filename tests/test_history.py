@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from lodestream.operators import history as H
-from lodestream.operators.history import history, merge_history, observations
+from lodestream.operators.history import Dimension, history, merge_history, observations
 
 T0 = datetime(2025, 1, 1)
 SCHEMA = "who bigint, state string, seen timestamp, no bigint, value string, entity string"
@@ -71,11 +71,48 @@ def test_ties_repeats_and_empty(spark, rows):
     assert rows(history(obs(spark, []))) == []
 
 
+def merged(spark, *batches):
+    dimension = Dimension()
+    for data in batches:
+        dimension = merge_history(dimension, obs(spark, data))
+    return dimension
+
+
 def test_merge_equals_building_at_once(spark, rows):
     first, second, third = made(4, 150), made(5, 60, who=7, start=70), made(6, 40, who=8, start=40)
-    log = obs(spark, first)
-    dimension = history(log)
-    for data in (second, third):  # the third comes late
-        dimension, log = merge_history(dimension, log, obs(spark, data))
-    assert rows(dimension, *COLUMNS) == brute(first + second + third)
-    assert dimension.where("is_current <> (valid_to is null)").count() == 0
+    dimension = merged(spark, first, second, third)  # the third comes late
+    assert rows(dimension.versions(), *COLUMNS) == brute(first + second + third)
+    assert dimension.versions().where("is_current <> (valid_to is null)").count() == 0
+    assert len(dimension.void) == 1
+    again = merge_history(dimension, obs(spark, made(9, 30, who=9, start=20)))  # late once more
+    assert rows(again.versions(), *COLUMNS) == brute(first + second + third + made(9, 30, who=9, start=20))
+
+
+def test_open_versions_go_on_close_and_open(spark, rows):
+    first = [(1, "a", 0, 1), (2, "a", 0, 2), (3, "a", 0, 3), (5, "q", 0, 4)]
+    second = [(1, "a", 5, 5), (2, "b", 5, 6), (3, "a", 4, 7), (3, "c", 6, 8), (3, "c", 7, 9), (4, "n", 5, 10)]
+    got = merged(spark, first, second)
+    assert rows(got.versions(), *COLUMNS) == brute(first + second)
+    assert got.void == () and rows(got.closed[1], "entity", "valid_to") == [(2, at(5)), (3, at(6))]
+
+
+def test_hashes_of_open_versions_are_compared_and_values_behind_equal_ones(spark, rows, monkeypatch):
+    first, second = [(1, "a", 0, 1), (2, "a", 0, 2)], [(1, "a", 5, 3), (2, "b", 5, 4)]
+    monkeypatch.setattr(H, "attr_hash", lambda value: F.lit(1).cast("long"))
+    assert rows(merged(spark, first, second).versions(), *COLUMNS) == brute(first + second)
+    monkeypatch.setattr(H, "attr_hash", lambda value: F.xxhash64("at"))
+    assert rows(merged(spark, first, second).versions(), "entity", "value", "valid_from") == sorted([(1, "a", at(0)), (1, "a", at(5)), (2, "a", at(0)), (2, "b", at(5))], key=repr)
+
+
+def test_a_batch_without_late_rows_reads_neither_log_nor_closed_versions(spark, monkeypatch):
+    dimension = merged(spark, made(4, 150))
+    gone = spark.createDataFrame([], dimension.log[0].schema).where("raise_error('read') is null")
+    closed = dimension.closed[0].where("raise_error('read') is null")
+    after = merge_history(Dimension(dimension.current, (closed,), (), (gone,)), obs(spark, made(5, 60, start=100)))
+    assert after.current.count() > 0
+
+
+def test_merging_empty_batches(spark, rows):
+    assert rows(merged(spark, [], []).versions()) == []
+    data = made(4, 50)
+    assert rows(merged(spark, [], data, []).versions(), *COLUMNS) == brute(data)
