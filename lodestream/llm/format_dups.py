@@ -3,10 +3,11 @@
 Records whose canonical key is equal collapse into one group; its representative is the smallest id.
 Keys travel as 128-bit digests, so a shuffled record has the same small size whatever its text.
 
-Hot keys (at least ``hot_share`` of all records, so at most 1/hot_share of them) are detected exactly
-from counts that are combined on the map side. Their records never meet in one task: they are salted
-into two-level aggregation and get their representative by a broadcast of that bounded table. All other
-keys take one shuffle.
+Hot keys (at least ``hot_rows`` records, whatever share of all records that is) are detected exactly from
+counts that are combined on the map side. Their records never meet in one task: they are salted into
+two-level aggregation and get their representative by a join with that table of one row for each hot key,
+broadcast if it has been measured to be small. All other keys take one shuffle, which their aggregation and
+the join back to their records share; a task sees fewer than ``hot_rows`` records of any of these keys.
 
 Defined results: a null key is never in a group; a key that occurs once gives a group of one; repeated
 rows with the same id count as copies; an empty table gives no rows; extra columns are ignored.
@@ -14,12 +15,14 @@ rows with the same id count as copies; an empty table gives no rows; extra colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.keyed import small_or_shuffled
 from lodestream.session import materialize
 
-HOT_SHARE = 0.002
+#: Records of one key that a single task may be given.
+HOT_ROWS = 10_000
 SALTS = 64
 
 
@@ -30,21 +33,20 @@ def keyed(df: DataFrame, row_id: str, key: Column, tag: str) -> DataFrame:
     return rows.select(F.lit(tag).alias("tag"), "id", F.unhex(F.md5(F.concat(F.lit(tag + ":"), "k"))).alias("digest"))
 
 
-def groups(records: DataFrame, hot_share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+def groups(records: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """(tag, id, first_id, copies) of every record of ``keyed``: its group's smallest id and size."""
-    spark = records.sparkSession
     records = materialize(records, "keyed")
-    total = records.count()
-    hot = records.groupBy("digest").count().where(F.col("count") >= max(2, total * hot_share)).select("digest").collect()
-    one = Window.partitionBy("digest")
-    level = lambda df: df.select("tag", "id", F.min("id").over(one).alias("first_id"), F.count(F.lit(1)).over(one).alias("copies"))
-    if not hot:
-        return level(records)
-    few = F.broadcast(spark.createDataFrame(hot, "digest binary"))
-    heavy = records.join(few, "digest", "left_semi")
-    salted = heavy.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    found = salted.groupBy("digest").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
-    return level(records.join(few, "digest", "left_anti")).unionByName(heavy.join(F.broadcast(found), "digest").select("tag", "id", "first_id", "copies"))
+    hot = small_or_shuffled(records.groupBy("digest").count().where(F.col("count") >= hot_rows).select("digest"))
+    state = (F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    out = ["tag", "id", "first_id", "copies"]
+    rest = records.join(hot, "digest", "left_anti").repartition("digest")
+    rest = rest.join(rest.groupBy("digest").agg(*state), "digest").select(*out)
+    if hot.isEmpty():
+        return rest
+    heavy = records.join(hot, "digest", "left_semi")
+    salted = heavy.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(*state)
+    found = small_or_shuffled(salted.groupBy("digest").agg(F.min("first_id").alias("first_id"), F.sum("copies").alias("copies")))
+    return rest.unionByName(heavy.join(found, "digest").select(*out))
 
 
 def collapse(df: DataFrame, row_id: str, key: Column, **options) -> DataFrame:

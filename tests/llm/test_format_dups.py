@@ -18,8 +18,17 @@ def test_groups_equal_brute_force_with_and_without_hot_keys(spark, rows):
     r = random.Random(1)
     data = [(i, r.choice(["hot"] * 20 + ["warm"] * 5 + [f"k{j}" for j in range(60)] + [None])) for i in r.sample(range(10**6), 800)]
     df = spark.createDataFrame(data, "n bigint, id string")
-    for share in (0.0001, 0.05, 0.2, 2.0):
-        assert rows(format_dups.groups(format_dups.keyed(df, "n", F.col("id"), "t"), hot_share=share, salts=7), "id", "first_id", "copies") == brute(data)
+    for hot_rows in (1, 40, 160, 10_000):
+        assert rows(format_dups.groups(format_dups.keyed(df, "n", F.col("id"), "t"), hot_rows=hot_rows, salts=7), "id", "first_id", "copies") == brute(data)
+
+
+def test_a_key_is_hot_by_its_rows_however_small_its_share(spark, rows):
+    data = [(i, "warm") for i in range(30)] + [(100 + i, f"k{i}") for i in range(30_000)]  # a share of a thousandth
+    records = format_dups.keyed(spark.createDataFrame(data, "n bigint, id string"), "n", F.col("id"), "t")
+    split, whole = format_dups.groups(records, hot_rows=20), format_dups.groups(records, hot_rows=31)
+    salted = lambda df: "Union" in df._jdf.queryExecution().analyzed().toString()
+    assert salted(split) and not salted(whole)
+    assert rows(split) == rows(whole) and split.where("copies = 30").count() == 30
 
 
 def test_tags_keep_groups_apart_and_empty(spark, rows):
