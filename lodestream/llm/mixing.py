@@ -5,10 +5,15 @@ sources without any are spread over the others in proportion), unless a size is
 sources that run short are taken whole at their cap and the rest is shared out among the others.
 
 A source that needs r times its tokens gives every document floor(r) certain copies; the rest is an
-unequal-probability sample by Pareto order sampling: documents rank by their random odds divided by their
-inclusion odds, and are taken in that order up to the tokens still missing. The random number of a
-document is a hash of its id, so a retried task draws the same. The cut is found without sorting a source
-in one task: ranks fall into a fixed number of bins, whose token sums locate the bin where the sum is
+unequal-probability sample by Pareto order sampling. A document's inclusion probability is proportional to its
+weight (by default its tokens), the factor being such that the expected tokens are those still missing; where
+that exceeds 1 the document is taken for certain. The others rank by their random odds divided by their
+inclusion odds and are taken in that order until the sample has its size. The size is fixed in tokens, as shares are:
+a fixed number of documents would leave every share to chance. The random number of a document is a hash of
+its id, so a retried task draws the same.
+
+Neither the factor nor the cut needs a source sorted in one task: weights are summed in a fixed number of bins for
+each power of two, and ranks fall into a fixed number of bins, whose token sums locate the one where the size is
 reached; only that bin's documents are put in order.
 
 Defined results: documents without source, with a null, empty or blank text stay out, as do sources that
@@ -27,6 +32,7 @@ from lodestream.llm.tokenize import count_tokens
 from lodestream.session import materialize
 
 BINS = 1 << 16
+PER_OCTAVE = 16
 #: Targets are a small table by definition; more than this is refused rather than collected.
 MOST_TARGETS = 10_000
 
@@ -61,10 +67,22 @@ def allocate(tokens: dict[str, int], targets: dict[str, tuple[float, int]], tota
     return {s: given[s] / have[s] for s in have}
 
 
+def factor(bins: list[tuple[float, float, float]], missing: float) -> float:
+    """The c with sum(min(1, c * weight) * tokens) = missing, from (largest weight, tokens, weight * tokens) of bins of similar weights."""
+    left, sure = sum(wx for _, _, wx in bins), 0.0
+    bins = sorted(bins, reverse=True)
+    for w, x, wx in bins:
+        c = (missing - sure) / left if left > 0 else 0.0
+        if c * w <= 1:
+            return c
+        sure, left = sure + x, left - wx
+    return float("inf")
+
+
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, weight: Column | None = None, bins: int = BINS) -> DataFrame:
     """(row_id, source, n_tokens, copies) of the documents of the mix, from ``sized`` documents.
 
-    ``weight`` makes a document's inclusion odds larger or smaller than its source's; 1 by default.
+    Inclusion probabilities within a source are proportional to ``weight``, a positive number; ``n_tokens`` by default.
     """
     spark = documents.sparkSession
     wanted = targets.select("source", "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()
@@ -72,18 +90,29 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
         raise ValueError(f"more than {MOST_TARGETS} targets")
     goal = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in wanted if r.source is not None}
     listed = F.broadcast(spark.createDataFrame([(s,) for s in goal], "source string"))
-    documents = documents.join(listed, "source", "left_semi").where("n_tokens > 0")
-    held = {r.source: r.n for r in documents.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # at most one row for each target
-    times = allocate(held, goal, total)
-    plan = [(s, math.floor(r + 1e-12), max(0.0, min(r - math.floor(r + 1e-12), 1.0)), max(0.0, r - math.floor(r + 1e-12)) * held[s]) for s, r in times.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, whole int, part double, missing double"))
+    documents = documents.join(listed, "source", "left_semi").where("n_tokens > 0").withColumn("weight", (F.col("n_tokens") if weight is None else weight).cast("double"))
+    # At most PER_OCTAVE rows for each target and power of two of the weight.
+    octave = F.floor(F.log2("weight") * PER_OCTAVE)
+    weights = documents.groupBy("source", octave.alias("octave")).agg(F.max("weight").alias("w"), F.sum("n_tokens").alias("x"), F.sum(F.col("weight") * F.col("n_tokens")).alias("wx")).collect()
+    held: dict[str, int] = {}
+    for r in weights:
+        held[r.source] = held.get(r.source, 0) + r.x
+    plan = []
+    for s, r in allocate(held, goal, total).items():
+        whole = math.floor(r + 1e-12)
+        missing = max(0.0, min(r - whole, 1.0)) * held[s]
+        plan.append((s, whole, missing, factor([(w.w, w.x, w.wx) for w in weights if w.source == s], missing)))
+    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, whole int, missing double, factor double"))
 
     u = (F.xxhash64(F.lit(seed), "row_id").bitwiseAND(F.lit(2**52 - 1)) + F.lit(0.5)) / F.lit(float(2**52))
-    odds = F.greatest(F.col("part"), F.lit(1e-12)) / F.greatest(1 - F.col("part"), F.lit(1e-12)) * (weight if weight is not None else F.lit(1.0))
-    ranked = documents.join(plan_df, "source").withColumn("rank", u / (1 - u) / odds).withColumn("bin", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1)).cast("int"))
+    odds = F.greatest(F.col("p"), F.lit(1e-300)) / (1 - F.col("p"))
+    # Documents taken for certain stand in a bin of their own, before all others.
+    bin_of = F.when(F.col("p") >= 1, -1).otherwise(F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * bins), F.lit(bins - 1))).cast("int")
+    ranked = documents.join(plan_df, "source").withColumn("p", F.least(F.col("weight") * F.col("factor"), F.lit(1.0)))
+    ranked = ranked.withColumn("rank", F.when(F.col("p") < 1, u / (1 - u) / odds).otherwise(0.0)).withColumn("bin", bin_of)
     # At most bins rows for each target: small enough for one sorted window each.
     upto = Window.partitionBy("source").orderBy("bin")
-    sums = ranked.where("part > 0").groupBy("source", "bin", "missing").agg(F.sum("n_tokens").alias("n"))
+    sums = ranked.where("missing > 0").groupBy("source", "bin", "missing").agg(F.sum("n_tokens").alias("n"))
     cut = sums.withColumn("before", F.sum("n").over(upto) - F.col("n")).where("before < missing and before + n >= missing")
     cut = materialize(cut.select("source", F.col("bin").alias("cut_bin"), "before"), "cuts")  # one row for each target
     at = ranked.join(F.broadcast(cut), "source", "left")

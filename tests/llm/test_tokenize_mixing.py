@@ -78,6 +78,29 @@ def test_the_draw_is_repeatable_and_follows_the_weight(spark):
     assert first.where("row_id < 2000").count() > 2 * first.where("row_id between 2000 and 3999").count()
 
 
+def test_inclusion_follows_tokens_over_many_draws(spark):
+    # 400 sources hold the same documents under other ids, which makes 400 independent draws in one run.
+    draws, sizes = 400, [5] * 20 + [20] * 10 + [40] * 5 + [400]
+    targets = [(f"s{d}", 1 / draws, 1) for d in range(draws)]
+    missing = 450
+    mixed, got = shares(spark, [(f"s{d}", n) for d in range(draws) for n in sizes], targets, total=missing * draws)
+    often = {n: 0 for n in sizes}
+    for r in mixed.collect():
+        often[r.n_tokens] += 1
+    assert often[400] == draws  # its tokens exceed what a draw may leave to chance, so it is taken for certain
+    c = (missing - 400) / sum(n * n for n in sizes if n < 400)
+    for n in (5, 20, 40):
+        assert often[n] / draws / sizes.count(n) == pytest.approx(c * n, rel=0.25)
+    assert all(abs(r.tokens - missing) <= 20 for r in got.values())  # each draw has the fixed size, up to half a document
+
+
+def test_the_factor_makes_the_expected_size():
+    sizes = [(float(w), w, w * w) for w in (1, 2, 3, 50, 60)]
+    for missing in (0.5, 10, 100, 115, 116):
+        c = mixing.factor(sizes, missing)
+        assert sum(min(1.0, c * w) * x for w, x, _ in sizes) == pytest.approx(missing)
+
+
 def test_nothing_to_mix(spark):
     mixed, got = shares(spark, [], [("a", 1.0, 1)])
     assert mixed.count() == 0 and got["a"].actual_share == 0
