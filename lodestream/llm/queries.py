@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
 from lodestream.llm import format_dups, history_dups, mixing, mojibake, survivor, templates, tokenize
 from lodestream.llm.sql import SQL  # noqa: F401
+from lodestream.operators.keyed import small_or_shuffled
 from lodestream.sources.tables import table
 
 _CONTEXT = ["keyword_seed", "source_url", "discovery_job_type", "matched_pattern", "tld"]
@@ -48,7 +49,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The record that gives each field of each group's survivor."""
-    trust = F.broadcast(table(spark, folder, "source_trust").select(trimmed_lower(F.col("source_type")).alias("trusted"), "trust_rank"))  # a fixed table of ten rows
+    trust = small_or_shuffled(table(spark, folder, "source_trust").select(trimmed_lower(F.col("source_type")).alias("trusted"), "trust_rank"))
     sources = table(spark, folder, "domain_sources").select("id", "domain_id", "source_type", "source_reference", "discovered_at", "context")
     ranked = sources.join(trust, trimmed_lower(sources["source_type"]) == trust["trusted"], "left")
     has = {"source_type": F.col("source_type").isNotNull()} | survivor.json_fields(F.col("context"), _CONTEXT)
