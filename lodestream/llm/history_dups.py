@@ -1,30 +1,37 @@
 """Checking new batches for exact and near duplicates against all that was accepted before.
 
-``repeats`` decides all batches in one pass: it makes the chunks of each distinct key once, pairs the keys
-that share a chunk and verifies each pair exactly; nothing is kept between runs. ``ChunkStore``, for batches
-that arrive one by one, keeps a persistent table of chunks: a batch computes the chunks of its own keys only,
-looks them up, verifies the pairs exactly and appends its chunks. Neither totals shared characters nor
-compares coverage: a shared gapped chunk implies it (see below), and every pair is verified.
-
 Two keys are nearly equal when their endings (after the last dot) are equal and their stems differ by at
-most two insertions, deletions or replacements. Content-defined cut points can't promise to find these:
-a host has a dozen or two characters, and two edits can fall into every chunk that a rolling hash cuts
-(see the README for the share that is lost). The chunks are therefore *gapped*: the stem with none, one
-or two characters left out, hashed with the ending by a rolling polynomial hash from whose prefix values
-each of the L^2/2 gapped hashes follows in a few operations (stems longer than any host name are cut into thirds). Two stems within two edits always share a
-gapped chunk of at least max(length) - 2 characters (leave out each edited character on either side), so
-with that coverage no pair is lost; and a chunk of that length is shared by hardly any others, so pairs
-grow with the links and not with the square of the keys.
+most two insertions, deletions or replacements. ``ChunkStore`` keeps a persistent table of the chunks of all
+accepted keys. A batch makes the chunks of its own keys only, looks them up in its parts of the table, decides by
+coverage and appends its chunks; the stored side is neither recomputed nor shuffled.
+
+Content-defined cut points can't promise to find near keys: a host has a dozen or two characters, and two edits
+can fall into every chunk that a rolling hash cuts (see the README for the share that is lost). The chunks are
+therefore *gapped*: the stem with none, one or two characters left out, hashed with the ending by a rolling
+polynomial hash from whose prefix values each of the L^2/2 gapped hashes follows in a few operations.
+
+Coverage: a chunk comes with its gaps, the places in it where characters were left out. Two stems that share a
+chunk have it in common; what it doesn't cover are the i and j characters left out of either, and where c of their
+gaps are at the same place, a character stands against a character. So they differ by at most i + j - c edits, and the
+least such sum over all shared chunks is their distance if that is at most two (leave out each edited character on
+either side). i + j - c <= 2 is the decision, without looking at any pair of records: a chunk needs to be kept
+only once for each set of gaps, with the earliest batch that has it. A chunk that is shared by a third of all keys
+so has no more entries than a rare one (1 + L + L^2/2 at most, L its length), and no pairs are made at all.
+Hashes have 64 bits; unequal chunks are taken for equal with a chance of 2^-64 for each pair of entries.
+
+Stems of more than ``LONGEST`` characters (a host name has at most 253) would have too many chunks. They share
+one of their thirds, shifted by two places at most, with any near stem; such pairs are verified exactly.
 
 Exact copies are collapsed first, so a key that fills a third of all rows is one record here.
 
 Defined results: rows without a key are never duplicates; rows of a null batch are compared with the
-accepted keys only and never count as history; rows of one batch aren't compared with each other;
-repeated rows are all reported; empty batches and an empty history give no rows; extra columns are ignored.
+accepted keys of the batches before 1 only and never count as history; rows of one batch aren't compared with each
+other; repeated rows are all reported; empty batches and an empty history give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.session import materialize, shuffle_partitions
+from lodestream.session import materialize, remove, shared_dir, shuffle_partitions
 
 EDITS = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK_SCHEMA = "chunk bigint, hid bigint, era int"
 #: Stems of more characters (no host name has more than 253) are cut into thirds instead of being gapped.
 LONGEST = 255
+_NO_ERA = 2**31 - 1
 #: Chunks that one task sorts, so that its memory is bounded.
 _PER_TASK = 3_000_000
 
@@ -71,6 +78,14 @@ def gapped_hashes(codes: np.ndarray) -> np.ndarray:
         return np.concatenate(out, axis=1)
 
 
+def gaps(length: int) -> np.ndarray:
+    """For the columns of ``gapped_hashes``: how many characters are left out, and how many of the chunk stand before either."""
+    i = np.arange(length)
+    p, q = np.triu_indices(length, 1)
+    none = np.zeros(1, int)
+    return np.stack([np.r_[none, np.ones_like(i), np.full_like(p, 2)], np.r_[none, i, p], np.r_[none, np.zeros_like(i), q - 1]], axis=1).astype(np.uint8)
+
+
 def piece_hashes(codes: np.ndarray) -> np.ndarray:
     """For strings of one length beyond ``LONGEST``: the hashes of their thirds, and of what may be a third of a near string.
 
@@ -94,196 +109,261 @@ def piece_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def _variants(length: int) -> int:
-    return 1 + length + length * (length - 1) // 2 if length <= LONGEST else (2 * EDITS + 1) ** 2 * (EDITS + 1)
+    return 1 + length + length * (length - 1) // 2
 
 
-def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(chunks, place of their record in the batch) in blocks of bounded size; each chunk once for each record."""
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(chunks, gaps, place of their record in the batch) in blocks of bounded size."""
     tail = batch.column("tail").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     stems = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in batch.column("stem").to_pylist()]
     sizes = np.array([len(s) for s in stems])
-    for length in np.unique(sizes):
-        of = np.flatnonzero(sizes == length)
+    for length in np.unique(sizes[sizes <= LONGEST]):
+        of, form = np.flatnonzero(sizes == length), gaps(int(length))
         step = max(1, 400_000 // _variants(int(length)))
         for k in range(0, len(of), step):
             some = of[k : k + step]
-            codes = np.stack([stems[i] for i in some])
-            both = [f(codes) for f, used in ((gapped_hashes, length <= LONGEST), (piece_hashes, length > LONGEST - EDITS)) if used]
             with np.errstate(over="ignore"):
-                mixed = np.sort(_mix(np.concatenate(both, axis=1) + tail[some][:, None]).view(np.int64), axis=1)
-            new = np.ones(mixed.shape, bool)  # a run of one letter gives the same chunk for each of its letters
-            new[:, 1:] = mixed[:, 1:] != mixed[:, :-1]
-            yield mixed[new], np.repeat(some, new.sum(axis=1))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hid, era = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hid", "era"))
-        for chunk, place in _hashed(batch):
-            yield pa.record_batch([pa.array(chunk), pa.array(hid[place]), pa.array(era[place].astype(np.int32))], names=["chunk", "hid", "era"])
+                chunk = _mix(gapped_hashes(np.stack([stems[i] for i in some])) + tail[some][:, None])
+            yield chunk.ravel(), np.tile(form, (len(some), 1)), np.repeat(some, len(form))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, block): the chunks of many records, divided by chunk into parts; one block instead of thousands of rows."""
+def _packed(batches: Iterator[pa.RecordBatch], labels: list[int]) -> Iterator[pa.RecordBatch]:
+    """(part, block): the entries of many records, divided by chunk into parts; one block instead of thousands of rows."""
     for batch in batches:
         hid, era = batch.column("hid").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("era").to_numpy(zero_copy_only=False).astype(np.int32)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for one in _hashed(batch):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for one in _entries(batch):
             held.append(one)
-            if sum(len(c) for c, _ in held) > 1_500_000:
-                yield from _blocks(held, hid, era, parts)
+            if sum(len(c) for c, _, _ in held) > 1_500_000:
+                yield from _blocks(held, hid, era, labels)
                 held = []
         if held:
-            yield from _blocks(held, hid, era, parts)
+            yield from _blocks(held, hid, era, labels)
 
 
-def _blocks(held: list, hid: np.ndarray, era: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    chunk, place = (np.concatenate(c) for c in zip(*held, strict=True))
+def _blocks(held: list, hid: np.ndarray, era: np.ndarray, labels: list[int]) -> Iterator[pa.RecordBatch]:
+    chunk, form, place = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.argsort(chunk)
-    chunk, place = chunk[order], place[order]
-    part = (chunk.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    chunk, form, place = chunk[order], form[order], place[order]
+    # Ranges of the hash are the parts, so what is sorted is divided already.
+    ends = np.r_[0, np.searchsorted(chunk, np.array([(i << 64) // len(labels) for i in range(1, len(labels))], np.uint64)), len(chunk)]
     for i in np.flatnonzero(ends[1:] > ends[:-1]):
-        at = order[ends[i] : ends[i + 1]]
+        at = slice(ends[i], ends[i + 1])
         rows, index = np.unique(place[at], return_inverse=True)
-        kind = np.uint16 if len(rows) < 1 << 16 else np.uint32
-        head = np.array([len(at), len(rows), kind().itemsize], np.int64)
-        # Sorted numbers by planes of bytes: the upper planes hardly change, so the shuffle compresses them.
-        planes = np.ascontiguousarray(chunk[at].view(np.uint8).reshape(-1, 8).T)
-        block = b"".join(x.tobytes() for x in (head, hid[rows], era[rows], planes, index.astype(kind)))
-        yield pa.record_batch([pa.array([int(i)], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+        yield pa.record_batch([pa.array([labels[i]], pa.int32()), pa.array([_pack(chunk[at], form[at], era[rows], index, hid[rows])], pa.binary())], names=["part", "block"])
+
+
+def _pack(chunk: np.ndarray, form: np.ndarray, era: np.ndarray, index: np.ndarray | None = None, hid: np.ndarray | None = None) -> bytes:
+    """Entries sorted by chunk as one compressed block, by planes of bytes. With ``index``, eras and ids are of the records it points to."""
+    planes = [np.ascontiguousarray(chunk.view(np.uint8).reshape(-1, 8).T), np.ascontiguousarray(form.T), era.astype(np.int32)]
+    if index is not None:
+        planes += [np.ascontiguousarray(index.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), hid.astype(np.int64)]
+    raw = np.array([len(chunk), len(era)], np.int64).tobytes() + b"".join(p.tobytes() for p in planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(chunk, form, era, hid) of each entry of a block; stored blocks have no ids."""
+    raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+    n, rows = map(int, np.frombuffer(raw, np.int64, 2))
+    chunk = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n).T).view(np.uint64).ravel()
+    form = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 3 * n, 16 + 8 * n).reshape(3, n).T)
+    era = np.frombuffer(raw, np.int32, rows, at := 16 + 11 * n)
+    if len(raw) == at + 4 * rows:
+        return chunk, form, era, None
+    index = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at := at + 4 * rows).reshape(4, n).T).view(np.uint32).ravel()
+    hid = np.frombuffer(raw, np.int64, rows, at + 4 * n)
+    return chunk, form, era[index], hid[index]
+
+
+def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The characters that a shared chunk leaves uncovered on either side, those at the same place counted once."""
+    i, j = a[:, 0].astype(int), b[:, 0].astype(int)
+    a1, a2, b1, b2 = a[:, 1], a[:, 2], b[:, 1], b[:, 2]
+    first = (i > 0) & (((j > 0) & (a1 == b1)) | ((j > 1) & (a1 == b2)))
+    second = (i > 1) & (((j > 0) & (a2 == b1)) | ((j > 1) & (a2 == b2)))
+    twice = np.minimum(2, ((j > 0) & (b1 == a1)).astype(int) + ((j > 1) & (b2 == a1)))  # both gaps of a at one place
+    common = np.where((i > 1) & (a1 == a2), twice, first.astype(int) + second)
+    return i + j - common
+
+
+def _looked_up(asked: tuple, stored: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, era) of the entries asked for that a stored entry of an earlier era covers up to ``EDITS`` characters.
+
+    A chunk has a bounded number of stored entries, so the loop is short however many records share it.
+    """
+    chunk, form, era = asked[:3]
+    at, end = np.searchsorted(stored[0], chunk, "left"), np.searchsorted(stored[0], chunk, "right")
+    open_ = np.flatnonzero(at < end)
+    at = at[open_]
+    while len(open_):
+        hit = (stored[2][at] < era[open_]) & (_edits(form[open_], stored[1][at]) <= EDITS)
+        if hit.any():
+            yield open_[hit], stored[2][at[hit]]
+        at = at + 1
+        more = at < end[open_]
+        open_, at = open_[more], at[more]
+
+
+def _decided(label: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
+    """(part, block, hits): one part of a batch looked up in the stored part and in the batch itself, and what is to be appended."""
+    blocks = [_unpack(b) for b in new.column("block").to_pylist()]
+    known = [_unpack(b) for b in old.column("block").to_pylist()]
+    if not blocks:
+        return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.binary()), "hits": pa.array([], _HITS)})
+    chunk, form, era, hid = (np.concatenate(c) for c in zip(*blocks, strict=True))
+    del blocks
+    code = form[:, 0].astype(np.uint32) << np.uint32(16) | form[:, 1].astype(np.uint32) << np.uint32(8) | form[:, 2]
+    order = np.lexsort((era, code, chunk))
+    chunk, form, era, hid, code = chunk[order], form[order], era[order], hid[order], code[order]
+    first = np.r_[True, (chunk[1:] != chunk[:-1]) | (code[1:] != code[:-1])] & (era < _NO_ERA)  # the earliest era of each chunk and gaps
+    own = chunk[first], form[first], era[first]
+    found: dict[int, int] = {}
+    for stored in (own, *known):
+        for place, of in _looked_up((chunk, form, era), stored):
+            hids, index = np.unique(hid[place], return_inverse=True)
+            low = np.full(len(hids), _NO_ERA, np.int64)
+            np.minimum.at(low, index, of)
+            for h, e in zip(hids.tolist(), low.tolist(), strict=True):
+                found[h] = min(e, found.get(h, e))
+    fresh = np.ones(len(own[0]), bool)
+    new_code = code[first]
+    for stored in known:  # what is stored already isn't appended again
+        fresh &= ~_contained(own[0], new_code, stored)
+    hits = pa.array([[{"hid": h, "era": e} for h, e in found.items()]], _HITS)
+    return pa.table({"part": pa.array([label[0].as_py()], pa.int32()), "block": pa.array([_pack(own[0][fresh], own[1][fresh], own[2][fresh])], pa.binary()), "hits": hits})
+
+
+_HITS_SQL = "hits array<struct<hid: bigint, era: int>>"
+_HITS = pa.list_(pa.struct([("hid", pa.int64()), ("era", pa.int32())]))
+
+
+def _contained(chunk: np.ndarray, code: np.ndarray, stored: tuple) -> np.ndarray:
+    """Whether each entry stands in a stored block, which is sorted by chunk and gaps."""
+    form = stored[1].astype(np.uint32)
+    theirs = form[:, 0] << np.uint32(16) | form[:, 1] << np.uint32(8) | form[:, 2]
+    at, end = np.searchsorted(stored[0], chunk, "left"), np.searchsorted(stored[0], chunk, "right")
+    out, open_ = np.zeros(len(chunk), bool), np.flatnonzero(at < end)
+    at = at[open_]
+    while len(open_):
+        out[open_[theirs[at] == code[open_]]] = True
+        at = at + 1
+        more = at < end[open_]
+        open_, at = open_[more], at[more]
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, hid) of stems that are too long for gapped chunks."""
+    for batch in batches:
+        tail, hid = batch.column("tail").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), batch.column("hid").to_pylist()
+        for i, s in enumerate(batch.column("stem").to_pylist()):
+            with np.errstate(over="ignore"):
+                found = np.unique(_mix(piece_hashes(np.frombuffer(s.encode("utf-32-le"), np.uint32)[None, :]) + tail[i]).view(np.int64))
+            yield pa.record_batch([pa.array(found), pa.array([hid[i]] * len(found), pa.int64())], names=["piece", "hid"])
 
 
-def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, rows, size = np.frombuffer(block, np.int64, 3)
-    at = 24
-    hid = np.frombuffer(block, np.int64, rows, at)
-    era = np.frombuffer(block, np.int32, rows, at := at + 8 * int(rows))
-    planes = np.frombuffer(block, np.uint8, 8 * int(n), at := at + 4 * int(rows))
-    index = np.frombuffer(block, np.uint16 if size == 2 else np.uint32, n, at + 8 * int(n))
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel(), hid[index], era[index]
+_PARTED = ("substring(host, 1, length(host) - length(substring_index(host, '.', -1)) - 1) as stem", "xxhash64(substring_index(host, '.', -1)) as tail")
 
 
 def records(df: DataFrame, key: Column, era: Column) -> DataFrame:
     """(hid, host, era, stem, tail): one record for each key with the earliest era that has it; written once."""
     hosts = df.select(key.alias("host"), era.cast("int").alias("era")).where("host is not null").groupBy("host").agg(F.min("era").alias("era"))
-    tail = F.substring_index("host", ".", -1)
-    split = hosts.select("host", "era", F.expr("substring(host, 1, length(host) - length(substring_index(host, '.', -1)) - 1)").alias("stem"), F.xxhash64(tail).alias("tail"))
+    split = hosts.selectExpr("host", "era", *_PARTED)
     return materialize(split.withColumn("hid", F.monotonically_increasing_id()), "hosts")
 
 
-def _with_stem(hosts: DataFrame) -> DataFrame:
-    return hosts.select("hid", F.coalesce("era", F.lit(2**31 - 1)).alias("era"), "stem", "tail")
-
-
-def chunks(hosts: DataFrame) -> DataFrame:
-    """The gapped chunks of records: (chunk, hid, era)."""
-    return _with_stem(hosts).mapInArrow(_chunks, _CHUNK_SCHEMA)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of records of different eras that share a chunk, in one hash partition of the chunks."""
-    parts = [_unpacked(block) for b in batches for block in b.column("block").to_pylist()]
-    if not parts:
-        return
-    chunk, hid, era = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    order = np.argsort(chunk, kind="stable")
-    chunk = chunk[order]
-    same = chunk[1:] == chunk[:-1]
-    keep = np.r_[same, False] | np.r_[False, same]
-    chunk, order = chunk[keep], order[keep]
-    hid, era = hid[order], era[order]
-    order = np.lexsort((era, chunk))
-    chunk, hid, era = chunk[order], hid[order], era[order]
-    late, early, at, gap = [], [], np.arange(len(chunk)), 1
-    while True:
-        at = at[at + gap < len(chunk)]
-        at = at[chunk[at] == chunk[at + gap]]
-        if not len(at):
-            break
-        differ = at[era[at] < era[at + gap]]
-        late.append(hid[differ + gap])
-        early.append(hid[differ])
-        gap += 1
-        if sum(map(len, late)) > 2_000_000:
-            yield _unique(late, early)
-            late, early = [], []
-    if late:
-        yield _unique(late, early)
-
-
-def _unique(late: list[np.ndarray], early: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(late), np.concatenate(early)], axis=1), axis=0)
-    return pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["late", "early"])
-
-
-def _verified(pairs: DataFrame, late: DataFrame, early: DataFrame) -> DataFrame:
-    """(hid, near_era): for each later record the earliest era of a record within two edits."""
-    found = pairs.distinct().join(late.select(F.col("hid").alias("late"), "stem", "tail"), "late")
-    found = found.join(early.select(F.col("hid").alias("early"), F.col("stem").alias("stem_b"), F.col("tail").alias("tail_b"), F.col("era").alias("era_b")), "early")
-    near = found.where((F.col("tail") == F.col("tail_b")) & (F.levenshtein("stem", "stem_b", EDITS) >= 0))
-    return near.groupBy(F.col("late").alias("hid")).agg(F.min("era_b").alias("near_era"))
-
-
-def repeats(df: DataFrame, key: Column, era: Column, row_id: str) -> DataFrame:
-    """The ids of rows of eras above 0 whose key equals or nearly equals one of an earlier era.
-
-    Era 0 is what was accepted before the first batch; a null era is a row of no known batch. All batches
-    are decided in one pass: each key's chunks are made once, under the first era that has it.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(row_id).alias("row_id"), key.alias("host"), era.cast("int").alias("era"))
-    hosts = records(rows, F.col("host"), F.col("era"))
-    total = hosts.select(F.sum(F.expr(f"if(length(stem) <= {LONGEST}, 1 + length(stem) + length(stem) * (length(stem) - 1) div 2, {_variants(LONGEST + 1)})"))).first()[0] or 0
-    tasks = max(shuffle_partitions(spark), -(-total // _PER_TASK))
-    packed = _with_stem(hosts).mapInArrow(lambda batches: _packed(batches, tasks), "part int, block binary")
-    pairs = packed.repartitionById(tasks, "part").mapInArrow(_pairs, "late bigint, early bigint")
-    near = _verified(pairs, hosts, hosts)
-    seen = hosts.join(near, "hid", "left").select("host", F.least("era", "near_era").alias("first_era"))
-    own = F.coalesce("era", F.lit(1))
-    return rows.where("host is not null and (era is null or era > 0)").join(seen, "host").where(F.col("first_era") < own).select("row_id")
+def parts_for(spark: SparkSession, host: DataFrame) -> int:
+    """The parts of a store for a single column of keys, so that a task sorts at most ``_PER_TASK`` entries of them."""
+    n = F.length(F.col(host.columns[0])).cast("long")
+    total = host.select(F.sum(F.when(n <= LONGEST, 1 + n + n * (n - 1) / 2))).first()[0] or 0
+    return max(shuffle_partitions(spark), int(-(-total // _PER_TASK)))
 
 
 class ChunkStore:
-    """The persistent chunk table of accepted keys, bucketed by chunk.
+    """The persistent chunk table of accepted keys: (batch, part, block, hits, host), bucketed by part.
 
-    A batch is checked by shuffling its own chunks only; the stored side is read bucket by bucket, neither
-    recomputed nor shuffled. ``admit`` checks, then appends the batch.
+    ``part`` is a range of the chunks' hash. A batch's chunks are shuffled once, to the parts, and meet the stored
+    ones there bucket by bucket. One write appends a batch's blocks together with its verdicts, and it is committed
+    as a whole, so a failure leaves the table as it was and the batch can be admitted again. ``parts`` is fixed
+    when the table is made: choose it by ``parts_for`` of the history that is expected.
+
+    Batches are numbered; ``admit`` takes one or several, each compared with what is stored and with those before
+    it in the call. A batch with a number that is stored already is decided again, but not appended.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
-
-    def _append(self, df: DataFrame, kind: str, by: str) -> None:
-        df.write.mode("append").format("parquet").bucketBy(self.buckets, by).sortBy(by).saveAsTable(f"{self.name}_{kind}")
-
-    def append(self, hosts: DataFrame) -> None:
-        """Append records with their chunks; keys that are stored already change nothing."""
-        if self.spark.catalog.tableExists(f"{self.name}_hosts"):
-            hosts = hosts.join(self.spark.table(f"{self.name}_hosts"), "host", "left_anti")
-        fresh = materialize(hosts.select("host", "stem", "tail").withColumn("hid", F.xxhash64("host")), "fresh")
-        self._append(fresh, "hosts", "host")
-        self._append(chunks(fresh.withColumn("era", F.lit(0))).select("chunk", "hid"), "chunks", "chunk")
-
-    def check(self, hosts: DataFrame) -> DataFrame:
-        """The keys of ``hosts`` that equal or nearly equal an accepted one."""
-        if not self.spark.catalog.tableExists(f"{self.name}_hosts"):
-            return hosts.select("host").limit(0)
-        known = self.spark.table(f"{self.name}_hosts")
-        asked = chunks(hosts).select("chunk", F.col("hid").alias("late"))
-        pairs = asked.join(self.spark.table(f"{self.name}_chunks").withColumnRenamed("hid", "early"), "chunk").select("late", "early")
-        near = _verified(pairs, hosts, known.withColumn("era", F.lit(0)))
-        exact = hosts.join(known.select("host"), "host", "left_semi").select("host")
-        return exact.union(hosts.join(near, "hid", "left_semi").select("host")).distinct()
-
-    def admit(self, df: DataFrame, key: Column, row_id: str) -> DataFrame:
-        """The ids of a batch's rows that repeat an accepted key; then the whole batch is accepted."""
-        rows = df.select(F.col(row_id).alias("row_id"), key.alias("host"))
-        hosts = records(rows, F.col("host"), F.lit(1))
-        found = materialize(rows.join(self.check(hosts), "host", "left_semi").select("row_id"), "repeats")
-        self.append(hosts)
-        return found
+    def __init__(self, spark: SparkSession, name: str, parts: int = 64, path: str | None = None) -> None:
+        self.spark, self.name, self.parts = spark, name, parts
+        self.path = path or f"{shared_dir(spark)}/lodestream/store-{name}"
+        # Labels of the parts are such that each falls into a bucket of its own.
+        bucket: dict[int, int] = {}
+        at = 0
+        while len(bucket) < parts:
+            for r in spark.range(at, at + 16 * parts).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("b")).collect():
+                bucket.setdefault(r.b, r.i)
+            at += 16 * parts
+        self.labels = sorted(bucket.values())
+
+    def stored(self) -> DataFrame | None:
+        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        remove(self.spark, self.path)
+
+    def _near_long(self, hosts: DataFrame, stored: DataFrame | None) -> DataFrame:
+        """(hid, era): the earliest era of a near stem for those of more than ``LONGEST`` characters, whose pairs are verified."""
+        new = hosts.where(F.length("stem") > LONGEST - EDITS).select("hid", "era", "stem", "tail")
+        old = new.where("era is not null")
+        if stored is not None:
+            texts = stored.where("host is not null").selectExpr("batch as era", *_PARTED)
+            old = old.unionByName(materialize(texts.withColumn("hid", -F.monotonically_increasing_id() - 1), "long"))
+        cut = lambda df: df.select("hid", "stem", "tail").mapInArrow(_pieces, "piece bigint, hid bigint")
+        pairs = cut(new).join(cut(old).withColumnRenamed("hid", "other"), "piece").select("hid", "other").where("hid <> other").distinct()
+        pairs = pairs.join(new.withColumnRenamed("era", "own"), "hid").join(old.select(F.col("hid").alias("other"), F.col("stem").alias("stem_b"), F.col("tail").alias("tail_b"), F.col("era").alias("era_b")), "other")
+        near = pairs.where((F.col("tail") == F.col("tail_b")) & (F.levenshtein("stem", "stem_b", EDITS) >= 0) & (F.col("era_b") < F.coalesce("own", F.lit(_NO_ERA))))
+        return near.groupBy("hid").agg(F.min("era_b").alias("era"))
+
+    def admit(self, df: DataFrame, key: Column, batch: Column, row_id: str) -> DataFrame:
+        """The ids of rows whose key equals or nearly equals one of an earlier batch; then the batches are accepted.
+
+        A null batch is compared with the batches before 1 and isn't accepted.
+        """
+        rows = df.select(F.col(row_id).alias("row_id"), key.alias("host"), batch.cast("int").alias("era"))
+        hosts, stored, labels = records(rows, F.col("host"), F.col("era")), self.stored(), self.labels
+        asked = hosts.select("hid", F.coalesce("era", F.lit(_NO_ERA)).alias("era"), "stem", "tail").where(F.length("stem") <= LONGEST)
+        packed = asked.mapInArrow(lambda batches: _packed(batches, labels), "part int, block binary")
+        old = self.spark.createDataFrame([], "part int, block binary") if stored is None else stored.where("block is not null").select("part", "block")
+        found = packed.groupBy("part").cogroup(old.groupBy("part")).applyInArrow(_decided, f"part int, block binary, {_HITS_SQL}")
+        found = found.withColumn("host", F.lit(None).cast("string"))
+        long = hosts.where(F.length("stem") > LONGEST - EDITS)
+        near_long = None
+        if not long.isEmpty():
+            near_long = materialize(self._near_long(hosts, stored), "near")
+            texts = long.where("era is not null").select("era", F.lit(labels[0]).alias("part"), F.lit(None).cast("binary").alias("block"), F.expr(f"cast(null as {_HITS_SQL.split(' ', 1)[1]}) as hits"), "host")
+            found = found.withColumn("era", F.lit(None).cast("int")).unionByName(texts)
+        else:
+            found = found.withColumn("era", F.lit(None).cast("int"))
+        newest = hosts.agg(F.max("era")).first()[0]
+        if newest is not None and (stored is None or stored.where(F.col("batch") == newest).isEmpty()):
+            # A part without an entry of the batch gives no row, so no bucket is written for nothing.
+            whole = found.select(F.coalesce("era", F.lit(newest)).alias("batch"), "part", "block", "hits", "host")
+            whole.write.mode("append").format("parquet").bucketBy(self.parts, "part").sortBy("part").option("path", self.path).saveAsTable(self.name)
+            found = self.spark.table(self.name).where(F.col("batch") == newest)
+        near = found.where("hits is not null").select(F.explode("hits").alias("h")).select("h.hid", "h.era")
+        near = (near if near_long is None else near.unionByName(near_long)).groupBy("hid").agg(F.min("era").alias("near_era"))
+        seen = hosts.join(materialize(near, "near"), "hid", "left").select("host", F.least("era", "near_era").alias("first_era"))
+        own = F.coalesce("era", F.lit(1))
+        return rows.where("host is not null").join(seen, "host").where(F.col("first_era") < own).select("row_id")
+
 
+def repeats(df: DataFrame, key: Column, era: Column, row_id: str) -> DataFrame:
+    """The ids of rows whose key equals or nearly equals one of an earlier era, by a store of their own.
 
+    Era 0 is what was accepted before the first batch; a null era is a row of no known batch.
+    """
+    spark = df.sparkSession
+    store = ChunkStore(spark, f"repeats_{uuid.uuid4().hex}", parts_for(spark, df.select(key)))
+    found = materialize(store.admit(df, key, era, row_id), "repeats")
+    store.drop()
+    return found

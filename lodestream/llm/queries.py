@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
 from lodestream.llm import format_dups, history_dups, mixing, mojibake, survivor, templates, tokenize
 from lodestream.llm.sql import SQL  # noqa: F401
 from lodestream.operators.keyed import small_or_shuffled
+from lodestream.session import materialize
 from lodestream.sources.tables import table
 
 _CONTEXT = ["keyword_seed", "source_url", "discovery_job_type", "matched_pattern", "tld"]
@@ -38,13 +41,21 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of each crawl whose host is in domains or an earlier crawl, exactly or nearly."""
+    """The rows of each crawl whose host is in domains or an earlier crawl, exactly or nearly.
+
+    Domains are accepted first, then the crawls are admitted to the same persistent chunk table.
+    """
     ccd, domains = table(spark, folder, "common_crawl_domains"), table(spark, folder, "domains")
-    names = sorted(r[0] for r in ccd.select("crawl_id").where("crawl_id is not null").distinct().collect())  # one name for each batch
-    eras = F.broadcast(spark.createDataFrame(list(zip(names, range(1, len(names) + 1), strict=True)), "crawl_id string, era int"))
+    # One row for each batch, so they are few enough to be numbered in one task.
+    names = ccd.select("crawl_id").where("crawl_id is not null").distinct()
+    eras = small_or_shuffled(names.select("crawl_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("crawl_id")).alias("era")))
     new = ccd.select("id", canonical_host(F.col("domain")).alias("host"), "crawl_id").join(eras, "crawl_id", "left").select("id", "host", "era")
-    old = domains.select(F.lit(None).cast("bigint").alias("id"), canonical_host(F.col("normalized_domain")).alias("host"), F.lit(0).alias("era"))
-    return history_dups.repeats(old.unionByName(new), F.col("host"), F.col("era"), "id").withColumnRenamed("row_id", "ccd_id")
+    old = domains.select("id", canonical_host(F.col("normalized_domain")).alias("host"), F.lit(0).alias("era"))
+    store = history_dups.ChunkStore(spark, f"accepted_{uuid.uuid4().hex}", history_dups.parts_for(spark, new.select("host").unionByName(old.select("host"))))
+    store.admit(old, F.col("host"), F.col("era"), "id")
+    found = materialize(store.admit(new, F.col("host"), F.col("era"), "id"), "repeats")
+    store.drop()
+    return found.withColumnRenamed("row_id", "ccd_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

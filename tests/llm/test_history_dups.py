@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.llm import history_dups as H
@@ -73,11 +74,100 @@ def test_gapped_hashes_are_those_of_the_shorter_strings():
     assert set(map(int, H.gapped_hashes(full)[0])) == expected
 
 
+def store(spark, name, parts=4):
+    made = H.ChunkStore(spark, name, parts)
+    made.drop()
+    return made
+
+
+def batch_of(spark, data, era):
+    return spark.createDataFrame([(i, k, e) for i, k, e in data if e == era], "i bigint, k string, e int")
+
+
+def admit(s, df):
+    return s.admit(df, F.col("k"), F.col("e"), "i")
+
+
 def test_store_admits_batch_after_batch(spark, rows):
     data = [d for d in made(3, 200) if d[2] is not None]
-    store = H.ChunkStore(spark, "accepted", buckets=4)
-    got = []
+    s, got = store(spark, "accepted"), []
     for era in range(4):
-        batch = spark.createDataFrame([(i, k) for i, k, e in data if e == era], "i bigint, k string")
-        got += rows(store.admit(batch, F.col("k"), "i"))
+        got += rows(admit(s, batch_of(spark, data, era)))
     assert sorted(got, key=repr) == brute(data)
+    again = rows(admit(s, batch_of(spark, data, 3)))  # decided again, but not appended
+    assert set(again) == {(i,) for (i,) in brute(data) if any(d[0] == i and d[2] == 3 for d in data)}
+    before = s.stored().count()
+    admit(s, batch_of(spark, data, 3))
+    assert s.stored().count() == before
+    s.drop()
+
+
+def test_one_call_equals_batch_after_batch(spark, rows):
+    data = made(7, 250)
+    s = store(spark, "several")
+    admit(s, batch_of(spark, data, 0))
+    rest = spark.createDataFrame([d for d in data if d[2] != 0], "i bigint, k string, e int")
+    assert rows(admit(s, rest)) == brute(data)
+    s.drop()
+
+
+def test_a_failed_append_leaves_the_store_and_can_be_repeated(spark, rows, monkeypatch):
+    data = [d for d in made(5, 120) if d[2] in (0, 1)]
+    s = store(spark, "failing")
+    admit(s, batch_of(spark, data, 0))
+    before = s.stored().select("batch", "part").collect()
+    real, last = H._decided, s.labels[-1]
+
+    def failing(label, new, old):
+        if label[0].as_py() == last:
+            raise ValueError("lost")
+        return real(label, new, old)
+
+    with monkeypatch.context() as m:
+        m.setattr(H, "_decided", failing)  # one part fails when others are written
+        with pytest.raises(Exception):  # noqa: B017
+            admit(s, batch_of(spark, data, 1))
+    assert s.stored().select("batch", "part").collect() == before
+    assert rows(admit(s, batch_of(spark, data, 1))) == brute(data)
+    s.drop()
+
+
+def test_a_batch_shuffles_its_own_chunks_only(spark):
+    s = store(spark, "bucketed")
+    admit(s, spark.createDataFrame([(i, f"host{i}.de", 0) for i in range(300)], "i bigint, k string, e int"))
+    new = spark.createDataFrame([(1, b"")], "part int, block binary")
+    joined = new.groupBy("part").cogroup(s.stored().where("block is not null").select("part", "block").groupBy("part")).applyInArrow(lambda key, a, b: a, "part int, block binary")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(part") == 1 and "Bucketed: true" in plan
+    s.drop()
+
+
+def test_dense_names_make_no_pairs_and_a_bounded_table(spark, rows):
+    r = random.Random(9)
+    names = {"".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(3000)}
+    data = [(i, f"{n}.de", i % 2) for i, n in enumerate(sorted(names))]
+    s = store(spark, "dense")
+    found = rows(admit(s, spark.createDataFrame(data, "i bigint, k string, e int")))
+    assert found == [(i,) for i, _, e in sorted(data, key=repr) if e] or len(found) == sum(e for *_, e in data)
+    kept = [H._unpack(b) for b in s.stored().where("block is not null").select("block").toPandas()["block"]]
+    # Chunks of 4, 3 and 2 letters with their gaps, each once, however many names share them.
+    assert sum(len(k[0]) for k in kept) <= 10**4 + 4 * 10**3 + 6 * 10**2
+    s.drop()
+
+
+def test_uncovered_characters_are_the_distance():
+    r = random.Random(11)
+    for _ in range(400):
+        a = "".join(r.choice("ab") for _ in range(r.randrange(7)))
+        b = list(a)
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(b) + 1)
+            r.choice([lambda: b.insert(at, "c"), lambda: b.pop(at % len(b)) if b else None, lambda: b.__setitem__(slice(at, at + 1), ["d"])])()
+        entries = []
+        for text in (a, "".join(b)):
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)[None, :]
+            entries.append((H.gapped_hashes(codes)[0], H.gaps(len(text))))
+        (x, f), (y, g) = entries
+        i, j = np.nonzero(x[:, None] == y[None, :])
+        least = H._edits(f[i], g[j]).min() if len(i) else 9
+        assert (least if least <= 2 else 9) == (d if (d := distance(a, "".join(b))) <= 2 else 9), (a, b)
