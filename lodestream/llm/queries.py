@@ -74,7 +74,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _residue(spark: SparkSession, folder: str) -> DataFrame:
-    return templates.residue(table(spark, folder, "page_bundles"), "bundle_id", ["html", "whatweb_error", "disqualifiers"])
+    return templates.residue(table(spark, folder, "page_bundles"), "bundle_id", ["html", "whatweb_error", "disqualifiers"], "domain_id")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,12 +3,21 @@
 A field is cut into messages: the title, the blocks of shown text and the noscript text of a page, the lines
 of a message, the entries of a list. Messages are masked (tokens with digits, hosts and addresses become
 ``*``) and counted. A prefix tree of fixed depth (number of tokens, then the first two) leads each distinct
-message to a leaf; a token that most of a leaf's messages share at a position is constant, the others are
-wildcards. Leaves and positions are aggregated, never collected, so their size doesn't matter. A message
-takes the leaf's template where that is specific (at least half of it constant) and fits; otherwise it's a
-template of its own. Each template is classified once, and its verdict propagates to all messages it covers.
-A mined wildcard may stand for the very words that decide, so a message whose template has any is classified
-by itself as well, once for all its copies; both verdicts count.
+message to a leaf. A leaf holds several templates: it is divided (``DIVISIONS`` times) by the token at the place where its
+messages differ in the fewest tokens, and in each group a token that most messages share at a place is constant,
+the others are wildcards. Leaves and places are aggregated, never collected, so their size doesn't matter. A message
+takes its group's template where it agrees with all constants and these are at least ``SIMILAR`` of it; otherwise it
+is a template of its own.
+
+Each template is classified once and its verdict goes to all messages it covers, in whatever field they stand:
+
+1. Seeds: phrases of filler, of errors and of script notices. Where a template has mined wildcards, which may stand
+   for the very words that decide, its messages are classified by themselves as well, once for all copies.
+2. Whole pages: the same set of templates making up the whole of pages of at least ``OWNERS`` unrelated owners is a
+   server's page and no content. A template that stands in such pages nearly always (``BOUND``) is a notice, in
+   whatever language; a sentence of a shop also stands elsewhere, beside others.
+3. Company: filler comes with filler. A template of at least ``OWNERS`` owners is filler if at least ``COMPANY`` of its pages
+   have another message that is filler by a seed; for real sentences that share is that of filler pages among all.
 
 Unresolved slots ({{ name }}, %NAME%, <%= name %> and the like) are looked for in every message by itself,
 since they stand inside ordinary text.
@@ -18,7 +27,8 @@ one message is a notice and none is ordinary content. Scripts, styles, comments
 a noscript text only where nothing else is shown. Messages and list entries are a case when any part is.
 
 Defined results: null and empty fields are never a case; texts of any length are read whole; repeated rows are
-each reported; an empty table gives no rows; extra columns are ignored, whatever their names.
+each reported; rows of a null owner share one; an empty table gives no rows; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,9 +41,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.keyed import small_or_shuffled
 from lodestream.session import materialize
 
-_UNITS = "rec bigint, field string, role string, slot boolean, words int, masked string"
+OWNERS, BOUND, COMPANY, SIMILAR, DIVISIONS = 10, 0.9, 0.5, 0.5, 2
+_UNITS = "rec bigint, owner bigint, field string, role string, slot boolean, words int, masked string"
 _UNSEEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template)\b.*?(?:</\1\s*>|\Z)")
 _FRAME = re.compile(r"(?is)<(nav|header|footer)\b.*?(?:</\1\s*>|\Z)")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
@@ -61,7 +73,7 @@ _SLOTS = [
 _RAW_SLOT = re.compile("|".join([*_SLOTS, r"<[A-Z][A-Z_]+>", r"&lt;[A-Za-z_][\w.]*&gt;"]))
 _SHOWN_SLOT = re.compile("|".join([*_SLOTS, r"<[A-Za-z_][\w.-]*>"]))
 
-#: Phrases of filler, of error pages and of script notices, in lower case, digits as 0.
+#: Seeds, fixed values: phrases of filler, of error pages and of script notices, in lower case, digits as 0.
 _FILLER = [
     r"\blorem ipsum\b", r"\bblindtext\b", r"\bplatzhaltertext\b", r"\bbeispiel(?:text|absatz)\b", r"\bplaceholder (?:copy|text|content|paragraph)\b",
     r"\b(?:sample|dummy|example) (?:text|copy|content|paragraph|product (?:one|0))\b", r"\byour (?:own )?(?:text|content|description) (?:goes )?here\b", r"\badd your own (?:description|text|content)\b",
@@ -69,10 +81,10 @@ _FILLER = [
     r"\bhier (?:steht|kommt) (?:später )?ihr text\b", r"\btext folgt\b", r"(?:\bx{3,}\b\s*){2,}", r"\btesto (?:di esempio|segnaposto)\b", r"\btexto de (?:ejemplo|exemplo|relleno)\b", r"\bexempeltext\b", r"\bprzykładowy tekst\b",
 ]
 _ERROR = [
-    r"\b(?:page|seite|página|pagina|strona|sida|ressource|resource|dirección|adresse|address|url)\b.{0,60}?(?:\bnot found\b|\bnicht gefunden\b|\bgibt es (?:leider )?nicht\b|\bintrouvable\b|\bno encontrada\b|\bno existe\b|\bniet gevonden\b|\bbestaat niet\b|\bnon trovata\b|\bnão encontrada\b|\bhittades inte\b|\bnie znaleziona\b|\bdoes not exist\b)",
+    r"\b(?:page|seite|página|pagina|strona|sida|ressource|resource|dirección|adresse|address|url)\b.*?(?:\bnot found\b|\bnicht gefunden\b|\bgibt es (?:leider )?nicht\b|\bintrouvable\b|\bno encontrada\b|\bno existe\b|\bniet gevonden\b|\bbestaat niet\b|\bnon trovata\b|\bnão encontrada\b|\bhittades inte\b|\bnie znaleziona\b|\bdoes not exist\b)",
     r"^\W*0+\W+not found\b", r"^\W*(?:error|fehler|erreur) 0+\W*$", r"\bsomething (?:went wrong|broke)\b", r"\bunexpected (?:exception|error) occurred\b", r"\bservice (?:temporarily )?unavailable\b", r"\bserver is overloaded\b",
     r"\bbad gateway\b", r"\bgave no valid answer\b", r"\bgateway time-?out\b", r"\bserver did not answer in time\b", r"\btoo many requests\b", r"\baccess denied\b", r"\b0+ forbidden\b", r"\brequest was blocked by\b",
-    r"\bzugriff verweigert\b", r"\bkeine berechtigung\b", r"\baccount suspended\b", r"\bhosting account\b.{0,80}\bswitched off\b", r"\bdomain parked\b", r"\bregistered but has no website\b", r"\bdatabase error\b",
+    r"\bzugriff verweigert\b", r"\bkeine berechtigung\b", r"\baccount suspended\b", r"\bhosting account\b.*?\bswitched off\b", r"\bdomain parked\b", r"\bregistered but has no website\b", r"\bdatabase error\b",
     r"\bestablish(?:ing)? a (?:connection to the )?database\b", r"\bconnection to the database\b", r"(?:^|[:*] )fatal error: ", r"(?:^|[:*] )warning: undefined\b", r"\ballowed memory size of\b", r"\bsitzung (?:ist )?abgelaufen\b", r"\bsession (?:has )?expired\b",
     r"^\W*wartungsarbeiten\W*$", r"\bwird gerade gewartet\b", r"\bin kürze wieder erreichbar\b", r"\b(?:down for|under|scheduled) maintenance\b", r"\ben maintenance\b", r"\bin manutenzione\b", r"\bin onderhoud\b", r"\ben mantenimiento\b", r"\binternal server error\b",
 ]
@@ -130,21 +142,22 @@ def _parts(field: str, value) -> Iterator[tuple[str, str, bool]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rec", "field", "role", "slot", "words", "masked"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
+    names = ["rec", "owner", "field", "role", "slot", "words", "masked"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for b in batches:
         rows: list[tuple] = []
-        for field, column in zip(b.schema.names[1:], b.columns[1:], strict=True):
-            for rec, value in zip(b.column(0).to_pylist(), column.to_pylist(), strict=True):
+        owners = b.column(1).to_pylist()
+        for field, column in zip(b.schema.names[2:], b.columns[2:], strict=True):
+            for rec, owner, value in zip(b.column(0).to_pylist(), owners, column.to_pylist(), strict=True):
                 if rec is None or not value:
                     continue
                 for role, message, slot in dict.fromkeys(_parts(field, value)):
                     masked = mask(message)
-                    rows.append((rec, field, role, slot, len(masked.split()), masked))
+                    rows.append((rec, owner, field, role, slot, len(masked.split()), masked))
                 if len(rows) > 20_000:
                     yield pack(rows)
                     rows = []
@@ -152,59 +165,106 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pack(rows)
 
 
-def units(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
-    """(rec, field, role, slot, words, masked) of every message; parsed once, then kept."""
-    return materialize(df.select(F.col(row_id).cast("long").alias("rec"), *fields).mapInArrow(_units, _UNITS), "units")
+def units(df: DataFrame, row_id: str, fields: list[str], owner: str | None = None) -> DataFrame:
+    """(rec, owner, field, role, slot, words, masked) of every message; parsed once, then kept. Without ``owner`` each record has its own."""
+    rec = F.col(row_id).cast("long")
+    return materialize(df.select(rec.alias("rec"), (rec if owner is None else F.xxhash64(owner)).alias("owner"), *fields).mapInArrow(_units, _UNITS), "units")
 
 
 def templates(messages: DataFrame) -> DataFrame:
     """(masked, template) of each distinct message of (masked, n)."""
-    tokens = messages.select("masked", "n", F.split("masked", " ").alias("t"))
-    leaf = F.struct(F.size("t").alias("size"), F.get("t", F.lit(0)).alias("first"), F.get("t", F.lit(1)).alias("second"))
-    leaves = tokens.select("masked", "n", "t", leaf.alias("leaf"))
+    t = F.split("masked", " ")
+    leaves = messages.select("masked", "n", t.alias("t"), F.xxhash64(F.size(t), F.get(t, F.lit(0)), F.get(t, F.lit(1))).alias("leaf"))
+    for _ in range(DIVISIONS):
+        # The place that divides a leaf: the fewest tokens, each in two messages or more on average.
+        places = leaves.select("leaf", F.posexplode("t").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("m")).groupBy("leaf", "at").agg(F.count(F.lit(1)).alias("d"), F.sum("m").alias("m"))
+        divided = places.where("d > 1 and d * 2 <= m").groupBy("leaf").agg(F.min(F.struct("d", "at")).getField("at").alias("split_at"))
+        leaves = leaves.join(divided, "leaf", "left").select("masked", "n", "t", F.when(F.col("split_at").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "split_at", F.expr("get(t, split_at)"))).alias("leaf"))
     spots = leaves.select("leaf", "n", F.posexplode("t").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
     best = spots.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise("*")
-    # A leaf has as many positions as its messages have tokens, so this list is as long as one message.
+    # A leaf has as many places as its messages have tokens, so this list is as long as one message.
     of = best.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", constant.alias("token")))), lambda x: x["token"]).alias("pattern"))
     both = leaves.join(of, "leaf")
     fits = F.forall(F.arrays_zip("t", "pattern"), lambda x: (x["pattern"] == "*") | (x["pattern"] == x["t"]))
-    specific = F.size(F.filter("pattern", lambda x: x != "*")) * 2 >= F.size("pattern")
+    specific = F.size(F.filter("pattern", lambda x: x != "*")) >= F.size("pattern") * SIMILAR
     return both.select("masked", F.when(fits & specific, F.array_join("pattern", " ")).otherwise(F.col("masked")).alias("template"))
 
 
 def _kind(column: str) -> Column:
+    """The first class that a text has a phrase of."""
     return F.coalesce(*(F.when(F.col(column).rlike("|".join(p)), F.lit(name)) for name, p in _CLASSES.items()))
 
 
+def labelled(messages: DataFrame, mine=templates) -> DataFrame:
+    """(masked, template, filler, error, script): each distinct message with its template and what the seeds say of either."""
+    of = mine(messages)
+    once = of.select("template").distinct().select("template", _kind("template").alias("kind"))
+    own = F.when(F.col("masked") != F.col("template"), _kind("masked"))
+    both = of.join(once, "template").select("masked", "template", F.array("kind", own).alias("kinds"))
+    return both.select("masked", "template", *(F.coalesce(F.array_contains(F.array_compact("kinds"), k), F.lit(False)).alias(k) for k in _CLASSES))
+
+
 def verdicts(messages: DataFrame) -> DataFrame:
-    """(masked, verdict) of the messages that are filler, an error or a script notice by their template or, where that has mined wildcards, by themselves.
+    """(masked, verdict) of the messages that the seeds find to be filler, an error or a script notice, by their template or by themselves; a row for each."""
+    found = F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in _CLASSES)))
+    return labelled(messages).select("masked", F.explode(found).alias("verdict"))
 
-    A message has two rows where these differ.
+
+def evidence(pages: DataFrame) -> DataFrame:
+    """(template, mined_filler, mined_notice) of what the corpus shows of templates no seed judges.
+
+    ``pages`` has owner, ``shown`` (all templates that make up the page, as numbers), ``unjudged`` (those without a verdict)
+    and ``has_filler`` (whether a seed finds any). Owners are counted by a sketch of fixed size, exact for so few.
     """
-    of = templates(messages)
-    once = of.select("template").distinct().select("template", _kind("template").alias("verdict")).where("verdict is not null")
-    own = F.when(F.col("masked") != F.col("template"), _kind("masked"))
-    both = of.join(once, "template", "left").select("masked", F.array_distinct(F.array_compact(F.array("verdict", own))).alias("verdicts"))
-    return both.select("masked", F.explode("verdicts").alias("verdict"))
-
-
-def residue(df: DataFrame, row_id: str, fields: list[str]) -> DataFrame:
-    """(rec, field, reasons): the records and fields that hold residue instead of content."""
-    seen = units(df, row_id, fields)
-    known = verdicts(seen.groupBy("masked").agg(F.count(F.lit(1)).alias("n")))
-    judged = seen.join(known, "masked", "left")
-    page, message = F.col("role").isin("title", "body"), F.col("role") == "message"
-    notice = F.col("verdict").isin("error", "script")
-    ordinary = (F.col("role") == "body") & F.col("verdict").isNull() & ~F.col("masked").rlike(r"^[*0\W]*$")
-    by = judged.groupBy("rec", "field").agg(
+    signed = pages.where(F.size("shown") > 0).withColumn("signature", F.xxhash64(F.array_sort("shown")))
+    known = small_or_shuffled(signed.groupBy("signature").agg(F.approx_count_distinct("owner").alias("owners")).where(F.col("owners") >= OWNERS).select("signature", F.lit(1).alias("recurs")))
+    each = signed.where(F.size("unjudged") > 0).join(known, "signature", "left").select("owner", "recurs", "has_filler", F.explode("unjudged").alias("template"))
+    of = each.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.count("recurs").alias("recurs"), F.count_if("has_filler").alias("filled"), F.approx_count_distinct("owner").alias("owners"))
+    of = of.where(F.col("owners") >= OWNERS).select("template", (F.col("filled") >= F.col("n") * COMPANY).alias("mined_filler"), (F.col("recurs") >= F.col("n") * BOUND).alias("mined_notice"))
+    return of.where("mined_filler or mined_notice")
+
+
+def residue(df: DataFrame, row_id: str, fields: list[str], owner: str | None = None, mine=templates) -> DataFrame:
+    """(rec, field, reasons): the records and fields that hold residue instead of content.
+
+    ``owner`` names the column that tells unrelated records apart, such as their host.
+    """
+    seen = units(df, row_id, fields, owner)
+    messages = materialize(seen.groupBy("masked").agg(F.count(F.lit(1)).alias("n")), "messages")
+    known = small_or_shuffled(labelled(messages, mine).select("masked", F.xxhash64("template").alias("template"), *_CLASSES))
+    judged = seen.join(known, "masked")
+    page, message, body = F.col("role").isin("title", "body"), F.col("role") == "message", F.col("role") == "body"
+    notice = F.col("error") | F.col("script")
+    plain = ~F.col("masked").rlike(r"^[*0\W]*$")
+    unjudged = ~F.col("filler") & ~notice & plain
+    pages = judged.groupBy("rec", "field").agg(
+        F.min("owner").alias("owner"),
         F.max(F.col("slot") & (page | message)).alias("slot"),
-        F.max((F.col("verdict") == "filler") & (page | message)).alias("filler"),
-        F.max(notice & (F.col("role") == "body")).alias("body_notice"),
-        F.max((F.col("verdict") == "script") & (F.col("role") == "noscript")).alias("hidden_notice"),
+        F.max(F.col("filler") & (page | message)).alias("has_filler"),
+        F.max(notice & body).alias("body_notice"),
+        F.max(F.col("script") & (F.col("role") == "noscript")).alias("hidden_notice"),
         F.max(notice & message).alias("message_notice"),
-        F.sum(F.when(ordinary, F.col("words")).otherwise(0)).alias("content"),
+        F.sum(F.when(unjudged & body, F.col("words")).otherwise(0)).alias("content"),
+        F.collect_set(F.when(body & plain, F.col("template"))).alias("body"),
+        F.collect_set(F.when((F.col("role") == "noscript") & plain, F.col("template"))).alias("hidden"),
+        F.collect_list(F.when(unjudged & (F.col("role") != "frame"), F.struct("template", "role", "words"))).alias("open"),
+    )
+    pages = materialize(pages, "pages")
+    shown = F.when(F.size("body") > 0, F.col("body")).otherwise(F.col("hidden"))
+    counted = F.transform(F.filter("open", lambda x: x["role"] == F.when(F.size("body") > 0, F.lit("body")).otherwise(F.lit("noscript"))), lambda x: x["template"])
+    whole = pages.where("size(body) > 0 or size(hidden) > 0").select("owner", shown.alias("shown"), F.array_distinct(counted).alias("unjudged"), "has_filler")
+    mined = small_or_shuffled(evidence(whole))
+    role = F.col("x.role")
+    more = pages.select("rec", "field", F.explode("open").alias("x")).withColumn("template", F.col("x.template")).join(mined, "template").groupBy("rec", "field").agg(
+        F.max(F.col("mined_filler") & role.isin("title", "body", "message")).alias("more_filler"),
+        F.max(F.col("mined_notice") & (role == "body")).alias("more_body"),
+        F.max(F.col("mined_notice") & (role == "noscript")).alias("more_hidden"),
+        F.max(F.col("mined_notice") & (role == "message")).alias("more_message"),
+        F.sum(F.when((role == "body"), F.col("x.words")).otherwise(0)).alias("less"),
     )
-    consists = (F.col("content") == 0) & (F.col("body_notice") | F.col("hidden_notice"))
-    reasons = F.array_compact(F.array(F.when(F.col("slot"), F.lit("slot")), F.when(F.col("filler"), F.lit("filler")), F.when(F.coalesce(consists, F.lit(False)) | F.col("message_notice"), F.lit("notice"))))
-    return by.select("rec", "field", reasons.alias("reasons")).where(F.size("reasons") > 0)
+    by = pages.drop("body", "hidden", "open").join(more, ["rec", "field"], "left").na.fill(False).na.fill(0)
+    consists = (F.col("content") == F.col("less")) & (F.col("body_notice") | F.col("hidden_notice") | F.col("more_body") | F.col("more_hidden"))
+    reasons = {"slot": F.col("slot"), "filler": F.col("has_filler") | F.col("more_filler"), "notice": consists | F.col("message_notice") | F.col("more_message")}
+    found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in reasons.items())))
+    return by.select("rec", "field", found.alias("reasons")).where(F.size("reasons") > 0)

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import templates
 
@@ -72,3 +75,46 @@ def test_words_that_vary_in_a_leaf_decide_too(spark):
 @pytest.mark.parametrize(("message", "masked"), [("Wait 5 seconds, a1b2 at shop.de", "wait 0 seconds, * at *"), ("Error 503", "error 0")])
 def test_masks(message, masked):
     assert templates.mask(message) == masked
+
+
+def test_a_leaf_holds_several_templates(spark):
+    said = [f"could not find {kind} {w} on server" for kind in ("page", "file") for w in ("red", "blue", "green")] + ["could not find anything at all here", "could not"]
+    df = spark.createDataFrame([(m, 1) for m in said], "masked string, n int")
+    got = {r.template for r in templates.templates(df).collect()}
+    assert {"could not find page * on server", "could not find file * on server"} <= got and "could not" in got
+
+
+SENTENCES = ["myymme tukevia pöytiä joka kotiin", "jokainen tuote valmistetaan käsin meillä", "toimitus kestää vain muutaman päivän", "palautus on aina ilmainen teille", "tervetuloa käymään liikkeessämme pian", "lahjakortti sopii jokaiselle ystävälle"]
+THINGS = ["kengät", "laukut", "takit", "hatut", "sukat", "paidat"]
+
+
+def unlisted(r, n=16):
+    """Pages in a language that no seed knows: error pages with a word that varies, filler, and real ones; (rec, host, html)."""
+    page = lambda *m: "<html><body><main>" + "".join(f"<p>{x}.</p>" for x in m) + "</main></body></html>"
+    out = [("error", page("hups nyt kävi huonosti", f"sivua nimeltä {r.choice(THINGS)} ei löydy palvelimelta enää")) for _ in range(n)]
+    out += [("filler", page(r.choice(SENTENCES), "tähän tulee myöhemmin kuvaus", "lorem ipsum dolor")) for _ in range(n)]
+    out += [("filler", page(r.choice(SENTENCES), "tähän tulee myöhemmin kuvaus")) for _ in range(n // 3)]
+    out += [("real", page(*r.sample(SENTENCES, r.randrange(1, 4)), f"uusi tuote {''.join(r.choices('abcdefg', k=6))} on saapunut")) for _ in range(6 * n)]
+    return [(i, f"host{i}.fi", kind, h) for i, (kind, h) in enumerate(out)]
+
+
+def test_the_tree_and_the_corpus_find_what_no_seed_knows(spark):
+    data = unlisted(random.Random(2))
+    df = spark.createDataFrame([(i, host, h, None, "clash") for i, host, _, h in data] + [(999, "x.fi", None, "sivua nimeltä huivit ei löydy palvelimelta enää.", "clash")], "rec bigint, host string, html string, error string, template string")
+    run = lambda **o: {(r.rec, *r.reasons) for r in templates.residue(df, "rec", ["html", "error"], "host", **o).collect()}
+    expected = {(i, "notice" if kind == "error" else "filler") for i, _, kind, _ in data if kind != "real"}
+    assert run() == expected | {(999, "notice")}  # a verdict mined from pages holds in other fields too
+    alone = lambda messages: messages.select("masked", F.col("masked").alias("template"))
+    without_tree = run(mine=alone)
+    assert without_tree < expected and not any("notice" in r for r in without_tree)  # each wording is rarer than OWNERS
+
+
+def test_copies_on_one_host_are_no_evidence(spark):
+    data = [(i, "one.fi", h) for i, _, kind, h in unlisted(random.Random(2)) if kind == "error"]
+    df = spark.createDataFrame(data, "rec bigint, host string, html string")
+    assert templates.residue(df, "rec", ["html"], "host").count() == 0
+
+
+def test_long_messages_between_the_words_of_a_phrase(spark):
+    df = spark.createDataFrame([(1, "The page " + "/very/long" * 500 + " was not found")], "rec bigint, error string")
+    assert templates.residue(df, "rec", ["error"]).count() == 1
