@@ -27,7 +27,7 @@ one message is a notice and none is ordinary content. Scripts, styles, comments
 a noscript text only where nothing else is shown. Messages and list entries are a case when any part is.
 
 Defined results: null and empty fields are never a case; texts of any length are read whole; repeated rows are
-each reported; rows of a null owner share one; an empty table gives no rows; extra columns are ignored, whatever
+each reported; rows of a null owner share an owner; an empty table gives no rows; extra columns are ignored, whatever
 their names.
 """
 
@@ -36,6 +36,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,8 @@ _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
 _NOSCRIPT = re.compile(r"(?is)<noscript\b[^>]*>(.*?)(?:</noscript\s*>|\Z)")
 _INLINE = re.compile(r"(?i)</?(?:a|abbr|b|cite|code|em|font|i|mark|small|span|strong|sub|sup|u|wbr)\b[^<>]*>")
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
+_BARE = re.compile(r"[*0\W]*\Z")
+_VARYING = re.compile(r"[@/]|\w\.\w")
 _HTML = re.compile(r"(?i)<(?:!doctype|html|head|body|title|div|p|h[1-6])\b")
 
 #: The forms of unfilled placeholders.
@@ -72,6 +75,8 @@ _SLOTS = [
 ]
 _RAW_SLOT = re.compile("|".join([*_SLOTS, r"<[A-Z][A-Z_]+>", r"&lt;[A-Za-z_][\w.]*&gt;"]))
 _SHOWN_SLOT = re.compile("|".join([*_SLOTS, r"<[A-Za-z_][\w.-]*>"]))
+#: What every form has one of.
+_HINT = re.compile(r"[{%[_*<&]")
 
 #: Seeds, fixed values: phrases of filler, of error pages and of script notices, in lower case, digits as 0.
 _FILLER = [
@@ -98,12 +103,12 @@ _CLASSES = {"filler": _FILLER, "error": _ERROR, "script": _SCRIPT}
 
 
 def shown(text: str) -> dict[str, list[str]]:
-    """The title, body and noscript messages of a page, as a reader sees them."""
+    """The title, body and noscript messages of a page, as a reader sees them; navigation, header and footer are no part of it."""
     seen = _UNSEEN.sub("\n", text)
     titles = _TITLE.findall(seen)
     seen = _TITLE.sub("\n", seen)
     hidden = [x for part in _NOSCRIPT.findall(seen) for x in _blocks(part)]
-    return {"title": [t for x in titles for t in _blocks(x)], "body": _blocks(_FRAME.sub("\n", _NOSCRIPT.sub("\n", seen))), "frame": [x for m in _FRAME.finditer(seen) for x in _blocks(m.group())], "noscript": hidden}
+    return {"title": [t for x in titles for t in _blocks(x)], "body": _blocks(_FRAME.sub("\n", _NOSCRIPT.sub("\n", seen))), "noscript": hidden}
 
 
 def _blocks(part: str) -> list[str]:
@@ -112,25 +117,29 @@ def _blocks(part: str) -> list[str]:
 
 
 def mask(message: str) -> str:
-    """Lower case; tokens with digits, hosts and addresses become ``*``, but codes of three digits 0."""
-    out = []
-    for token in message.lower().split():
-        bare = token.strip(".,;:!?()[]\"'")
-        if bare.isdigit():
-            out.append(token.replace(bare, "0"))
-        elif any(c.isdigit() for c in bare) or "@" in bare or "/" in bare or re.search(r"\w\.\w", bare):
-            out.append("*")
-        else:
-            out.append(token)
-    return " ".join(out)
+    """Lower case; tokens with digits, hosts and addresses become ``*``, but plain numbers 0."""
+    return " ".join(map(_masked, message.lower().split()))
+
+
+@lru_cache(maxsize=1 << 16)
+def _masked(token: str) -> str:
+    if token.isalpha():
+        return token
+    bare = token.strip(".,;:!?()[]\"'")
+    if bare.isdigit():
+        return token.replace(bare, "0")
+    return "*" if _VARYING.search(bare) or any(c.isdigit() for c in bare) else token
 
 
 def _parts(field: str, value) -> Iterator[tuple[str, str, bool]]:
     """(role, message, has a slot) of one field's value."""
     if field == "html" or isinstance(value, str) and _HTML.search(value):
-        for role, messages in shown(value).items():
+        parts = shown(value)
+        if any(not _BARE.match(mask(m)) for m in parts["body"]):
+            del parts["noscript"]  # it isn't shown where anything else is
+        for role, messages in parts.items():
             for m in messages:
-                yield role, m, bool(_SHOWN_SLOT.search(m))
+                yield role, m, bool(_HINT.search(m) and _SHOWN_SLOT.search(m))
         return
     for entry in value if isinstance(value, list) else [value]:
         if not entry:
@@ -138,7 +147,7 @@ def _parts(field: str, value) -> Iterator[tuple[str, str, bool]]:
         bare = re.sub(r"^(?:[a-z]+(?:_[a-z]+)*):(?=\S)", "", entry) if isinstance(value, list) else entry
         for line in bare.split("\n"):
             if line.strip():
-                yield "message", " ".join(line.split()), bool(_RAW_SLOT.search(line))
+                yield "message", " ".join(line.split()), bool(_HINT.search(line) and _RAW_SLOT.search(line))
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,18 +220,19 @@ def verdicts(messages: DataFrame) -> DataFrame:
     return labelled(messages).select("masked", F.explode(found).alias("verdict"))
 
 
-def evidence(pages: DataFrame) -> DataFrame:
-    """(template, mined_filler, mined_notice) of what the corpus shows of templates no seed judges.
+def evidence(judged: DataFrame, pages: DataFrame) -> DataFrame:
+    """(template, mined_filler, mined_notice): what the corpus shows of templates that no seed judges.
 
-    ``pages`` has owner, ``shown`` (all templates that make up the page, as numbers), ``unjudged`` (those without a verdict)
-    and ``has_filler`` (whether a seed finds any). Owners are counted by a sketch of fixed size, exact for so few.
+    Owners are counted by sketches of fixed size, which are exact for so few.
     """
-    signed = pages.where(F.size("shown") > 0).withColumn("signature", F.xxhash64(F.array_sort("shown")))
-    known = small_or_shuffled(signed.groupBy("signature").agg(F.approx_count_distinct("owner").alias("owners")).where(F.col("owners") >= OWNERS).select("signature", F.lit(1).alias("recurs")))
-    each = signed.where(F.size("unjudged") > 0).join(known, "signature", "left").select("owner", "recurs", "has_filler", F.explode("unjudged").alias("template"))
-    of = each.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.count("recurs").alias("recurs"), F.count_if("has_filler").alias("filled"), F.approx_count_distinct("owner").alias("owners"))
-    of = of.where(F.col("owners") >= OWNERS).select("template", (F.col("filled") >= F.col("n") * COMPANY).alias("mined_filler"), (F.col("recurs") >= F.col("n") * BOUND).alias("mined_notice"))
-    return of.where("mined_filler or mined_notice")
+    signed = pages.where("signature is not null")
+    known = small_or_shuffled(signed.groupBy("signature").agg(F.approx_count_distinct("owner").alias("owners")).where(F.col("owners") >= OWNERS).select("signature", F.lit(True).alias("recurs")))
+    marked = signed.join(known, "signature", "left").where("recurs or has_filler").select("rec", "field", "owner", F.coalesce("recurs", F.lit(False)).alias("recurs"), "has_filler")
+    whole = judged.where(F.col("unjudged") & F.col("role").isin("body", "noscript")).select("rec", "field", "template")
+    of = whole.join(small_or_shuffled(marked), ["rec", "field"]).groupBy("template").agg(F.count_if("recurs").alias("recur"), F.count_if("has_filler").alias("filled"), F.approx_count_distinct("owner").alias("owners"))
+    of = small_or_shuffled(of.where(F.col("owners") >= OWNERS))
+    n = whole.join(of.select("template"), "template", "left_semi").groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(of, "template").select("template", (F.col("filled") >= F.col("n") * COMPANY).alias("mined_filler"), (F.col("recur") >= F.col("n") * BOUND).alias("mined_notice")).where("mined_filler or mined_notice")
 
 
 def residue(df: DataFrame, row_id: str, fields: list[str], owner: str | None = None, mine=templates) -> DataFrame:
@@ -232,39 +242,32 @@ def residue(df: DataFrame, row_id: str, fields: list[str], owner: str | None = N
     """
     seen = units(df, row_id, fields, owner)
     messages = materialize(seen.groupBy("masked").agg(F.count(F.lit(1)).alias("n")), "messages")
-    known = small_or_shuffled(labelled(messages, mine).select("masked", F.xxhash64("template").alias("template"), *_CLASSES))
-    judged = seen.join(known, "masked")
+    plain, notice = ~F.col("masked").rlike(r"^[*0\W]*$"), F.col("error") | F.col("script")
+    labels = labelled(messages, mine).select("masked", F.xxhash64("template").alias("template"), "filler", "script", notice.alias("notice"), plain.alias("plain"))
+    judged = seen.join(small_or_shuffled(labels.withColumn("unjudged", F.expr("plain and not filler and not notice"))), "masked").drop("masked")
     page, message, body = F.col("role").isin("title", "body"), F.col("role") == "message", F.col("role") == "body"
-    notice = F.col("error") | F.col("script")
-    plain = ~F.col("masked").rlike(r"^[*0\W]*$")
-    unjudged = ~F.col("filler") & ~notice & plain
+    shown_ = F.col("plain") & F.col("role").isin("body", "noscript")
     pages = judged.groupBy("rec", "field").agg(
         F.min("owner").alias("owner"),
         F.max(F.col("slot") & (page | message)).alias("slot"),
         F.max(F.col("filler") & (page | message)).alias("has_filler"),
-        F.max(notice & body).alias("body_notice"),
+        F.max(F.col("notice") & body).alias("body_notice"),
         F.max(F.col("script") & (F.col("role") == "noscript")).alias("hidden_notice"),
-        F.max(notice & message).alias("message_notice"),
-        F.sum(F.when(unjudged & body, F.col("words")).otherwise(0)).alias("content"),
-        F.collect_set(F.when(body & plain, F.col("template"))).alias("body"),
-        F.collect_set(F.when((F.col("role") == "noscript") & plain, F.col("template"))).alias("hidden"),
-        F.collect_list(F.when(unjudged & (F.col("role") != "frame"), F.struct("template", "role", "words"))).alias("open"),
-    )
-    pages = materialize(pages, "pages")
-    shown = F.when(F.size("body") > 0, F.col("body")).otherwise(F.col("hidden"))
-    counted = F.transform(F.filter("open", lambda x: x["role"] == F.when(F.size("body") > 0, F.lit("body")).otherwise(F.lit("noscript"))), lambda x: x["template"])
-    whole = pages.where("size(body) > 0 or size(hidden) > 0").select("owner", shown.alias("shown"), F.array_distinct(counted).alias("unjudged"), "has_filler")
-    mined = small_or_shuffled(evidence(whole))
-    role = F.col("x.role")
-    more = pages.select("rec", "field", F.explode("open").alias("x")).withColumn("template", F.col("x.template")).join(mined, "template").groupBy("rec", "field").agg(
-        F.max(F.col("mined_filler") & role.isin("title", "body", "message")).alias("more_filler"),
-        F.max(F.col("mined_notice") & (role == "body")).alias("more_body"),
-        F.max(F.col("mined_notice") & (role == "noscript")).alias("more_hidden"),
-        F.max(F.col("mined_notice") & (role == "message")).alias("more_message"),
-        F.sum(F.when((role == "body"), F.col("x.words")).otherwise(0)).alias("less"),
+        F.max(F.col("notice") & message).alias("message_notice"),
+        F.sum(F.when(F.col("unjudged") & body, F.col("words")).otherwise(0)).alias("content"),
+        F.bit_xor(F.when(shown_, F.col("template"))).alias("_xor"), F.count_if(shown_).alias("_n"),
+    )
+    # The templates that make up a page, in whatever order.
+    pages = materialize(pages.select("*", F.when(F.col("_n") > 0, F.xxhash64("_xor", "_n")).alias("signature")).drop("_xor", "_n"), "pages")
+    mined = small_or_shuffled(evidence(judged, pages))
+    more = judged.where("unjudged").join(mined, "template").groupBy("rec", "field").agg(
+        F.max(F.col("mined_filler") & (page | message)).alias("more_filler"),
+        F.max(F.col("mined_notice") & F.col("role").isin("body", "noscript")).alias("more_shown"),
+        F.max(F.col("mined_notice") & message).alias("more_message"),
+        F.sum(F.when(body, F.col("words")).otherwise(0)).alias("less"),
     )
-    by = pages.drop("body", "hidden", "open").join(more, ["rec", "field"], "left").na.fill(False).na.fill(0)
-    consists = (F.col("content") == F.col("less")) & (F.col("body_notice") | F.col("hidden_notice") | F.col("more_body") | F.col("more_hidden"))
+    by = pages.join(more, ["rec", "field"], "left").na.fill(False).na.fill(0, ["less"])
+    consists = (F.col("content") == F.col("less")) & (F.col("body_notice") | F.col("hidden_notice") | F.col("more_shown"))
     reasons = {"slot": F.col("slot"), "filler": F.col("has_filler") | F.col("more_filler"), "notice": consists | F.col("message_notice") | F.col("more_message")}
     found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in reasons.items())))
     return by.select("rec", "field", found.alias("reasons")).where(F.size("reasons") > 0)
