@@ -213,15 +213,23 @@ def _decided(label: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
         return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.binary()), "hits": pa.array([], _HITS)})
     chunk, form, era, hid = (np.concatenate(c) for c in zip(*blocks, strict=True))
     del blocks
-    code = form[:, 0].astype(np.uint32) << np.uint32(16) | form[:, 1].astype(np.uint32) << np.uint32(8) | form[:, 2]
-    order = np.lexsort((era, code, chunk))
-    chunk, form, era, hid, code = chunk[order], form[order], era[order], hid[order], code[order]
-    first = np.r_[True, (chunk[1:] != chunk[:-1]) | (code[1:] != code[:-1])] & (era < _NO_ERA)  # the earliest era of each chunk and gaps
+    order = np.argsort(chunk, kind="stable")  # merges the blocks, which are sorted
+    chunk = chunk[order]
+    same = chunk[1:] == chunk[:-1]
+    shared = np.r_[same, False] | np.r_[False, same]
+    form, era, hid = form[order], era[order], hid[order]
+    code = _codes(form)
+    at = np.flatnonzero(shared)  # only these need an order within their chunk
+    within = at[np.lexsort((era[at], code[at], chunk[at]))]
+    form[at], era[at], hid[at], code[at] = form[within], era[within], hid[within], code[within]
+    first = np.r_[True, ~same | (code[1:] != code[:-1])] & (era < _NO_ERA)  # the earliest era of each chunk and gaps
     own = chunk[first], form[first], era[first]
+    several = first & shared
     found: dict[int, int] = {}
-    for stored in (own, *known):
-        for place, of in _looked_up((chunk, form, era), stored):
-            hids, index = np.unique(hid[place], return_inverse=True)
+    asked = chunk, form, era, hid
+    for mine, stored in ((tuple(c[shared] for c in asked), (chunk[several], form[several], era[several])), *((asked, k) for k in known)):
+        for place, of in _looked_up(mine, stored):
+            hids, index = np.unique(mine[3][place], return_inverse=True)
             low = np.full(len(hids), _NO_ERA, np.int64)
             np.minimum.at(low, index, of)
             for h, e in zip(hids.tolist(), low.tolist(), strict=True):
@@ -238,10 +246,14 @@ _HITS_SQL = "hits array<struct<hid: bigint, era: int>>"
 _HITS = pa.list_(pa.struct([("hid", pa.int64()), ("era", pa.int32())]))
 
 
+def _codes(form: np.ndarray) -> np.ndarray:
+    """The gaps of each entry as one number."""
+    return form[:, 0].astype(np.uint32) << np.uint32(16) | form[:, 1].astype(np.uint32) << np.uint32(8) | form[:, 2]
+
+
 def _contained(chunk: np.ndarray, code: np.ndarray, stored: tuple) -> np.ndarray:
     """Whether each entry stands in a stored block, which is sorted by chunk and gaps."""
-    form = stored[1].astype(np.uint32)
-    theirs = form[:, 0] << np.uint32(16) | form[:, 1] << np.uint32(8) | form[:, 2]
+    theirs = _codes(stored[1])
     at, end = np.searchsorted(stored[0], chunk, "left"), np.searchsorted(stored[0], chunk, "right")
     out, open_ = np.zeros(len(chunk), bool), np.flatnonzero(at < end)
     at = at[open_]
