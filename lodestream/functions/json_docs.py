@@ -57,3 +57,20 @@ def display_list(a: Column) -> Column:
 def first_or_blank(text: Column) -> Column:
     """The first member of a JSON list of strings, '' where there is none."""
     return F.coalesce(F.get(F.from_json(text, "array<string>"), F.lit(0)), F.lit(""))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def display_values(text: pd.Series) -> pd.Series:
+    """The members of a JSON value for display: lists flattened to any depth, trimmed, without blanks and repeats; objects as JSON text."""
+
+    def flat(value) -> list:
+        if isinstance(value, list):
+            return [y for x in value for y in flat(x)]
+        return [value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)]
+
+    return text.map(lambda t: list(dict.fromkeys(x for v in flat(_load(t)) if (x := v.strip()))))
+
+
+def kept_json(columns: dict[str, Column], keep: list[str]) -> Column:
+    """A JSON object of the listed columns, as far as there are any; nulls are kept as nulls."""
+    return F.to_json(F.struct(*(columns[k].alias(k) for k in keep if k in columns)), {"ignoreNullFields": "false"})

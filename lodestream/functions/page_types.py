@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestream.functions.pages import keywords_present
+from lodestream.functions.writing import let
 
 #: For each kind its reasons. A reason looks at ``path`` or ``query`` keys or ``html`` or ``text``
 #: for any of some words, for a pattern, or for at least n different words.
@@ -80,6 +81,12 @@ def reasons(url: Column, html: Column, text: Column) -> dict[str, Column]:
     return out
 
 
+def reasons_once(url: Column, html: Column, text: Column) -> Column:
+    """``reasons`` as one struct, each of the three parts computed once however many reasons look at it."""
+    parts = F.struct(url.alias("url"), html.alias("html"), text.alias("text"))
+    return let(parts, lambda r: F.struct(*(c.alias(k) for k, c in reasons(r["url"], r["html"], r["text"]).items()), per_page(r["html"], r["text"]).alias("per_page")))
+
+
 def is_homepage(url: Column) -> Column:
     return url_path(url).isin("", "index", "index.html", "home")
 

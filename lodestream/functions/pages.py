@@ -6,9 +6,9 @@ that is column expressions.
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit, urlunsplit
 from xml.etree import ElementTree
@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARSED = "row_id bigint, anchors array<struct<href:string,text:string>>, scripts array<string>, stylesheets array<string>, head_links array<string>, meta map<string,string>"
-_KIND = pa.schema([("row_id", pa.int64()), ("anchors", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))), *((n, pa.list_(pa.string())) for n in ("scripts", "stylesheets", "head_links")), ("meta", pa.map_(pa.string(), pa.string()))])
+#: What can be read from a page.
+FIELDS = {"anchors": "array<struct<href:string,text:string>>", "scripts": "array<string>", "stylesheets": "array<string>", "head_links": "array<string>", "meta": "map<string,string>"}
+_KIND = pa.schema([("anchors", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))), *((n, pa.list_(pa.string())) for n in ("scripts", "stylesheets", "head_links")), ("meta", pa.map_(pa.string(), pa.string()))])
 
 
 class _Page(HTMLParser):
@@ -59,24 +60,32 @@ class _Page(HTMLParser):
             self._open[1].append(data)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for i, text, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        found: dict[str, list] = {f: [] for f in fields}
+        for text, base in zip(*(c.to_pylist() for c in b.columns[-2:]), strict=True):
             page = _Page(base or "")
             try:
                 page.feed(text or "")
                 page.close()
             except (AssertionError, ValueError):  # what was read until then counts
                 pass
-            anchors = [{"href": h, "text": " ".join(" ".join(t).split())} for h, t in page.anchors]
-            rows.append({"row_id": i, "anchors": anchors, "scripts": page.scripts, "stylesheets": page.styles, "head_links": page.links, "meta": list(page.meta.items())})
-        yield pa.RecordBatch.from_pylist(rows, _KIND)
+            if "anchors" in found:
+                found["anchors"].append([{"href": h, "text": " ".join(" ".join(t).split())} for h, t in page.anchors])
+            for f, value in (("scripts", page.scripts), ("stylesheets", page.styles), ("head_links", page.links), ("meta", list(page.meta.items()))):
+                if f in found:
+                    found[f].append(value)
+        yield pa.record_batch([*b.columns[:-2], *(pa.array(v, _KIND.field(f).type) for f, v in found.items())], names=[*b.schema.names[:-2], *found])
 
 
-def parse_pages(df: DataFrame, row_id: str, text: str, base_url: Column) -> DataFrame:
-    """Anchors (absolute, with their text), scripts, stylesheets, head links and meta data of each page; see PARSED."""
-    return df.select(F.col(row_id).cast("long"), F.col(text), base_url.alias("_base")).mapInArrow(_parsed, PARSED)
+def parse_pages(df: DataFrame, row_id: str, text: str, base_url: Column, fields: tuple[str, ...] = tuple(FIELDS), **keep: Column) -> DataFrame:
+    """Anchors (absolute, with their text), scripts, stylesheets, head links and meta data of each page, as far as asked for by ``fields``.
+
+    Other columns are carried along by ``keep``, so nothing has to be joined back.
+    """
+    rows = df.select(F.col(row_id).cast("long").alias("row_id"), *(c.alias(n) for n, c in keep.items()), F.col(text).alias("_text"), base_url.alias("_base"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
+    return rows.mapInArrow(lambda batches: _parsed(batches, list(fields)), ", ".join([*kinds, *(f"{f} {FIELDS[f]}" for f in fields)]))
 
 
 def link_address(url: Column) -> Column:
@@ -84,9 +93,22 @@ def link_address(url: Column) -> Column:
     return F.when(url.rlike("(?i)^https?://"), F.concat(F.regexp_extract(url, r"^([^?#]*?)/*(?:[?#]|$)", 1), F.regexp_extract(url, r"^[^?#]*(\?[^#]+)", 1)))
 
 
-@F.pandas_udf(T.StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else html.unescape(t))
+def unescape(text: Column) -> Column:
+    """A text with its entities resolved, inside the JVM: the named ones of HTML 4 and ``apos``, and numeric ones, with their semicolon."""
+    names = F.create_map(*(F.lit(x) for name, code in [*name2codepoint.items(), ("apos", 39)] for x in (name, chr(code))))
+
+    def number(digits: Column, base: int) -> Column:
+        code = F.conv(digits, base, 10).try_cast("int")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def resolved(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        code = F.when(name.rlike("^#[0-9]"), number(F.substr(name, F.lit(2)), 10)).when(name.startswith("#"), number(F.substr(name, F.lit(3)), 16)).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(code, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), resolved), ""))
 
 
 def page_text(page: Column) -> Column:

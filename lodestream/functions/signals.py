@@ -178,10 +178,13 @@ def country_hint(domain: Column, plugins: Column) -> Column:
     return F.coalesce(F.when(F.length(named) == 2, named), ending)
 
 
+#: The endings that are read for a country.
+COUNTRY_ENDINGS = {"de": ["de"], "at": ["at"], "ch": ["ch"], "nl": ["nl"], "se": ["se"], "us": ["us"], "ae": ["ae"]}
+
+
 def endings(countries: list[str], given: list[str] | None = None) -> list[str]:
     """The endings to read for some countries, in order and each once; oversized ones are passed over even if given."""
-    known = {v.lower(): k for k, v in ENDING_COUNTRIES.items()}
-    wanted = given or [known[c.lower()] for c in countries if c and c.lower() in known]
+    wanted = given or [e for c in countries if c for e in COUNTRY_ENDINGS.get(c.lower(), [])]
     return [e for e in dict.fromkeys(wanted) if e not in OVERSIZED_ENDINGS]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.functions.json_docs import merge_json
 from lodestream.functions.urls import parents
 from lodestream.session import materialize
 
@@ -50,6 +51,19 @@ def page_of(df: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size)
 
 
+def sorted_page(df: DataFrame, column: str, row_id: str, page: int, size: int, sortable: list[str], descending: bool = True) -> DataFrame:
+    """A page of a grid sorted by one of its ``sortable`` columns, nulls last, ties by id."""
+    if column not in sortable:
+        raise ValueError(f"can't be sorted by {column}")
+    by = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
+    return page_of(df, page, size, by, F.desc(row_id))
+
+
+def next_chunk(df: DataFrame, row_id: str, after: int | None, size: int) -> DataFrame:
+    """The next rows in order of their id: the step of an iteration by key, which skips nothing when rows come or go."""
+    return (df if after is None else df.where(F.col(row_id) > after)).orderBy(row_id).limit(size)
+
+
 def new_rows(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key isn't known yet."""
     return df.join(known.select(*on), on, "left_anti")
@@ -78,8 +92,8 @@ def merge(target: DataFrame, updates: DataFrame, key: str, rules: dict[str, str]
     """Upsert by key; each other column has a rule for keys that are in both.
 
     ``greatest`` the larger, ``union`` both sets sorted, ``new`` the update's even if null, ``old`` the
-    target's, ``old_or_new`` the target's unless null, ``new_or_old`` the update's unless null. Rows of only one
-    side pass through. Both sides have at most one row for each key.
+    target's, ``old_or_new`` the target's unless null, ``new_or_old`` the update's unless null, ``json`` both objects
+    merged to any depth. Rows of only one side pass through. Both sides have at most one row for each key.
     """
     t, u = target.select(F.lit(True).alias("_in_t"), *target.columns).alias("t"), updates.select(F.lit(True).alias("_in_u"), *updates.columns).alias("u")
     out = [F.coalesce(F.col(f"t.{key}"), F.col(f"u.{key}")).alias(key)]
@@ -88,6 +102,7 @@ def merge(target: DataFrame, updates: DataFrame, key: str, rules: dict[str, str]
         empty = F.array()
         both = {
             "greatest": F.greatest(a, b), "new": b, "old": a, "old_or_new": F.coalesce(a, b), "new_or_old": F.coalesce(b, a),
+            "json": merge_json(a, b) if rule == "json" else None,
             "union": F.array_sort(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty))) if rule == "union" else None,
         }[rule]
         out.append(F.when(F.col("u._in_u").isNull(), a).when(F.col("t._in_t").isNull(), b).otherwise(both).alias(c))

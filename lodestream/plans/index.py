@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import pages, signals, urls
 from lodestream.operators import keyed
 from lodestream.plans.index_sql import SQL  # noqa: F401
+from lodestream.session import materialize
 from lodestream.sources.crawl_index import page_rows
 from lodestream.sources.tables import table
 from lodestream.streaming.arrivals import windowed_counts
@@ -58,16 +59,16 @@ def _signalled(spark: SparkSession, folder: str, country: str) -> DataFrame:
     return rows.select("row_id", "url", "domain", "crawl", "fetched_at", *(signals.bits(t).alias(n) for n, t in _tests(country).items()))
 
 
-def fold_by_domain(rows: DataFrame, country: str) -> DataFrame:
-    """One row for each domain: capped points, sets of signals, first URL and last crawl.
+def fold_by_domain(rows: DataFrame, country: str, *by: str) -> DataFrame:
+    """One row for each domain (and each value of the columns ``by``): capped points, sets of signals, first URL and last crawl.
 
     All aggregates combine on the map side (sets by ``bit_or``), so a domain with a third of all rows costs no
     more than another.
     """
     points = signals.shop_points(F.col("url"))
     rows = rows.where("domain is not null and country_signals > 0").withColumn("points", F.when(points > 0, points).otherwise(FLOOR))
-    folded = rows.groupBy("domain").agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("score"), F.min_by("url", "row_id").alias("source_url"), F.max_by("crawl", "row_id").alias("crawl_id"), F.max("fetched_at").alias("last_seen_at"), *(F.bit_or(n).alias(n) for n in _SETS))
-    return folded.select("domain", urls.top_label(F.col("domain")).alias("tld"), F.lit(country).alias("country"), "score", *(signals.names_of(F.col(n), t).alias(n) for n, t in _tests(country).items()), "source_url", "crawl_id", "last_seen_at")
+    folded = rows.groupBy("domain", *by).agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("score"), F.min_by("url", "row_id").alias("source_url"), F.max_by("crawl", "row_id").alias("crawl_id"), F.max("fetched_at").alias("last_seen_at"), *(F.bit_or(n).alias(n) for n in _SETS))
+    return folded.select("domain", *by, urls.top_label(F.col("domain")).alias("tld"), F.lit(country).alias("country"), "score", *(signals.names_of(F.col(n), t).alias(n) for n, t in _tests(country).items()), "source_url", "crawl_id", "last_seen_at")
 
 
 def r_import(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,10 +86,11 @@ def r_import_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """The index of earlier crawls with the newest crawl merged in."""
-    rows = _signalled(spark, folder, COUNTRY)
-    newest = rows.agg(F.max("crawl")).first()[0]
-    old, new = (fold_by_domain(rows.where(t), COUNTRY) for t in (F.col("crawl") < newest, F.col("crawl") == newest))
+    """The index of earlier crawls, and of rows without one, with the newest crawl merged in; all rows are folded once."""
+    newest = _index(spark, folder).agg(F.max("crawl")).first()[0]
+    rows = _signalled(spark, folder, COUNTRY).withColumn("is_new", F.coalesce(F.col("crawl") == newest, F.lit(False)))
+    folded = materialize(fold_by_domain(rows, COUNTRY, "is_new"), "folded")
+    old, new = (folded.where(t).drop("is_new") for t in ("not is_new", "is_new"))
     rules = {"score": "greatest", "matched_patterns": "union", "country_signals": "new", "source_url": "old_or_new", "crawl_id": "new", "last_seen_at": "new"}
     out = keyed.merge(old, new, "domain", rules)
     return out.select("domain", "score", *(_joined(c).alias(c) for c in ("matched_patterns", "country_signals")), "source_url", "crawl_id", _second("last_seen_at").alias("last_seen_at"), "merge_state")
@@ -286,28 +288,37 @@ def r_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return text.select("bundle_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), pages.keywords_present(F.col("text"), ["cart", "shop", "checkout"]).alias("n_words"))
 
 
-def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.parse_pages(_bundles(spark, folder), "bundle_id", "html", F.coalesce("whatweb_target_url", F.lit("")))
+def _parsed(spark: SparkSession, folder: str, *fields: str, **keep) -> DataFrame:
+    return pages.parse_pages(_bundles(spark, folder), "bundle_id", "html", F.coalesce("whatweb_target_url", F.lit("")), fields, **keep)
 
 
 def r_page_links(spark: SparkSession, folder: str) -> DataFrame:
     """The links of every page to its own site, each once."""
-    site = _bundles(spark, folder).select(F.col("bundle_id").alias("row_id"), "whatweb_target_url")
-    links = _parsed(spark, folder).select("row_id", F.explode("anchors").alias("a")).join(site, "row_id").where(pages.same_site(F.col("a.href"), F.col("whatweb_target_url")))
+    links = _parsed(spark, folder, "anchors", site=F.col("whatweb_target_url")).select("row_id", "site", F.explode("anchors").alias("a")).where(pages.same_site(F.col("a.href"), F.col("site")))
     return links.select(F.col("row_id").alias("bundle_id"), pages.link_address(F.col("a.href")).alias("url")).where("url is not null").distinct()
 
 
+def outer_domains(parsed: DataFrame, own: Column, ignored: list[str], word: str) -> DataFrame:
+    """(domain, n_pages, n_named): the domains that parsed pages link to other than their ``own``, and how many of the links name ``word`` in text or address."""
+    links = parsed.select("row_id", own.alias("own"), F.explode("anchors").alias("a"))
+    out = links.select("row_id", "own", urls.discovery_domain(urls.url_host(F.col("a.href"))).alias("domain"), F.contains(F.lower(F.concat_ws(" ", "a.text", "a.href")), F.lit(word)).alias("named"))
+    return out.where(F.col("domain").isNotNull() & ~F.col("domain").isin(ignored) & (F.col("own").isNull() | (F.col("domain") != F.col("own")))).groupBy("domain").agg(F.countDistinct("row_id").alias("n_pages"), F.sum(F.col("named").cast("int")).alias("n_named"))
+
+
+IGNORED_HOSTS = ["facebook.com", "google.com", "instagram.com", "linkedin.com", "pinterest.com", "twitter.com", "youtube.com"]
+
+
 def r_outer_domains(spark: SparkSession, folder: str) -> DataFrame:
-    """Other domains that pages link to, with the number of pages and of links whose text names a shop."""
-    site = _bundles(spark, folder).select(F.col("bundle_id").alias("row_id"), urls.discovery_domain(urls.url_host(F.col("whatweb_target_url"))).alias("own"))
-    links = _parsed(spark, folder).select("row_id", F.explode("anchors").alias("a")).join(site, "row_id")
-    out = links.select("row_id", "own", urls.discovery_domain(urls.url_host(F.col("a.href"))).alias("domain"), F.contains(F.lower(F.concat_ws(" ", "a.text", "a.href")), F.lit("shop")).alias("shop"))
-    return out.where("domain is not null and (own is null or domain <> own)").groupBy("domain").agg(F.countDistinct("row_id").alias("n_pages"), F.sum(F.col("shop").cast("int")).alias("n_shop"))
+    """Domains that a directory's entries link to, other than the directory's own: each discovered candidate as an entry of the page it was found on."""
+    entry = F.concat(F.lit('<li><a href="https://'), F.col("domain"), F.lit('">'), F.coalesce("keyword_seed", F.lit("")), F.lit("</a></li>"))
+    found = table(spark, folder, "discovered_candidates").select("candidate_id", entry.alias("html"), "source_url")
+    parsed = pages.parse_pages(found, "candidate_id", "html", F.coalesce("source_url", F.lit("")), ("anchors",), own=urls.discovery_domain(urls.url_host(F.col("source_url"))))
+    return outer_domains(parsed, F.col("own"), IGNORED_HOSTS, "online")
 
 
 def r_page_assets(spark: SparkSession, folder: str) -> DataFrame:
     """Scripts, stylesheets and meta data of every page."""
-    return _parsed(spark, folder).select(F.col("row_id").alias("bundle_id"), _joined(F.col("scripts")).alias("scripts"), F.size("stylesheets").alias("n_stylesheets"), F.size(F.map_keys("meta")).alias("n_meta"))
+    return _parsed(spark, folder, "scripts", "stylesheets", "meta").select(F.col("row_id").alias("bundle_id"), _joined(F.col("scripts")).alias("scripts"), F.size("stylesheets").alias("n_stylesheets"), F.size(F.map_keys("meta")).alias("n_meta"))
 
 
 def _named(*functions) -> dict:

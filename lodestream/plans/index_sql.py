@@ -31,6 +31,16 @@ def _bare(c: str) -> str:
     return rf"regexp_replace(regexp_replace(lower({_strip(c)}), '^https?://', ''), '^www\.', '')"
 
 
+def _site(c: str) -> str:
+    return f"regexp_replace(lower(regexp_extract({c}, '^[hH][tT][tT][pP][sS]?://([^/?#]*)', 1)), '^www\\.', '')"
+
+
+def page_text(c: str) -> str:
+    seen = f"regexp_replace(regexp_replace(coalesce({c}, ''), '(?s)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+    plain = f"replace(replace(replace(replace({seen}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+    return f"lower(trim(regexp_replace({plain}, '[\\s\\p{{Z}}\\x{{85}}\\x{{b}}\\x{{1c}}-\\x{{1f}}]+', ' ', 'g')))"
+
+
 def _any(text: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({text}, {_q(w)})" for w in words) + ")"
 
@@ -114,7 +124,7 @@ SQL = {
     "r_like_patterns": _INDEX + f"select split_part(d, '.', -1) as ending, count(*) as n_rows from (select {discovery(url_host('url'))} as d from idx where lower(url) like '%/shop%' or lower(url) like '%/kategorie/%' or lower(url) like '%size=4_%') where split_part(d, '.', -1) in ('de', 'nl', 'fr', 'ch') group by 1",
     "r_import": _SIGNALLED + ", " + _fold("f", "true") + f" select domain, split_part(domain, '.', -1) as tld, 'de' as country, score, {_TAIL.format('cs')} as country_signals, {_TAIL.format('ls')} as language_signals, {_TAIL.format('ps')} as matched_patterns, source_url, crawl_id, {_DAY.format('seen')} as last_seen_at from f",
     "r_import_counts": _SIGNALLED + "select crawl, count(*) as n_read, count(*) filter (domain is null) as n_invalid, count(*) filter (domain is not null and len(cs) > 0) as n_accepted, count(*) filter (domain is not null and len(cs) = 0) as n_skipped, count(*) filter (domain is not null and len(cs) = 0 and len(ls) > 0) as n_language_only from sig group by 1",
-    "r_merge": _SIGNALLED + ", " + _fold("o", "crawl < (select max(crawl) from idx)") + ", " + _fold("n", "crawl = (select max(crawl) from idx)") + f"""
+    "r_merge": _SIGNALLED + ", " + _fold("o", "coalesce(crawl < (select max(crawl) from idx), true)") + ", " + _fold("n", "crawl = (select max(crawl) from idx)") + f"""
       select coalesce(o.domain, n.domain) as domain, greatest(o.score, n.score) as score, {_TAIL.format('list_sort(list_distinct(list_concat(coalesce(o.ps, []), coalesce(n.ps, []))))')} as matched_patterns,
         {_TAIL.format('case when n.domain is null then o.cs else n.cs end')} as country_signals, coalesce(o.source_url, n.source_url) as source_url, case when n.domain is null then o.crawl_id else n.crawl_id end as crawl_id,
         {_DAY.format('case when n.domain is null then o.seen else n.seen end')} as last_seen_at, case when n.domain is null then 'kept' when o.domain is null then 'inserted' else 'updated' end as merge_state
@@ -154,4 +164,10 @@ SQL = {
     "r_page_counts": "with t as (select lower(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')) as t from page_bundles), n as (select t, coalesce("
     + ", ".join(f"case when try_cast(regexp_extract(t, {_q(rx)}, 1) as int) > 0 then try_cast(regexp_extract(t, {_q(rx)}, 1) as int) end" for rx in signals.TOTALS)
     + r""") as n from t) select case when n is null then null when n <= 50 then '1-50' when n <= 200 then '51-200' when n <= 1000 then '201-1000' else '1000+' end as bucket, list_max(list_transform(regexp_extract_all(t, '\bpage\s*(\d{1,4})\b', 1), lambda x: try_cast(x as int))) as last_page, count(*) as n_pages from n group by 1, 2""",
+    "r_page_links": rf"""with a as (select bundle_id, whatweb_target_url as site, unnest(regexp_extract_all(html, '<a\b[^>]*?\bhref="([^"]+)"', 1)) as ref from page_bundles where whatweb_target_url is not null),
+      u as (select bundle_id, site, case when regexp_matches(ref, '^https?://') then ref else regexp_extract(site, '^(https?://[^/?#]*)', 1) || ref end as url from a where not regexp_matches(lower(ref), '^(#|mailto:|tel:|javascript:)'))
+      select distinct bundle_id, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) as url from u where {_site('url')} = {_site('site')}""",
+    "r_outer_domains": rf"""with e as (select candidate_id, {discovery(url_host('source_url'))} as own, {discovery(url_host("'https://' || regexp_replace(regexp_replace(domain, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+$', ''), '[" + chr(9) + chr(10) + chr(13) + "]', '', 'g')"))} as d, contains(lower(coalesce(keyword_seed, '') || ' https://' || domain), 'online') as named from discovered_candidates where domain is not null)
+      select d as domain, count(distinct candidate_id) as n_pages, sum(named::int) as n_named from e where d is not null and d not in ('facebook.com', 'google.com', 'instagram.com', 'linkedin.com', 'pinterest.com', 'twitter.com', 'youtube.com') and (own is null or d <> own) group by 1""",
+    "r_page_text": f"select bundle_id, length(t) as n_chars, md5(t) as digest, contains(t, 'cart')::int + contains(t, 'shop')::int + contains(t, 'checkout')::int as n_words from (select bundle_id, {page_text('html')} as t from page_bundles)",
 }

@@ -53,8 +53,8 @@ def r_page_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """The kinds of every page by at least two reasons, whether it's a home page, and how many products it shows."""
     page, url = F.coalesce("html", F.lit("")), F.coalesce(F.get("links", F.lit(0)), F.col("whatweb_target_url"), F.lit(""))
     rows = table(spark, folder, "page_bundles").select("bundle_id", page.alias("html"), url.alias("url"), pages.page_text(page).alias("text"))
-    kinds = page_types.reasons(F.col("url"), F.col("html"), F.col("text"))
-    return rows.select("bundle_id", page_types.is_homepage(F.col("url")).alias("is_home"), *(F.array_join(c, "|").alias(k) for k, c in kinds.items()), page_types.per_page(F.col("html"), F.col("text")).alias("per_page"))
+    found = rows.select("bundle_id", page_types.is_homepage(F.col("url")).alias("is_home"), page_types.reasons_once(F.col("url"), F.col("html"), F.col("text")).alias("k"))
+    return found.select("bundle_id", "is_home", *(F.array_join(F.col("k")[k], "|").alias(k) for k in page_types.KINDS), F.col("k")["per_page"].alias("per_page"))
 
 
 def r_domain_products(spark: SparkSession, folder: str) -> DataFrame:

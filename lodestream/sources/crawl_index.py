@@ -68,7 +68,16 @@ def read_ranks(spark: SparkSession, path: str, most: int) -> DataFrame:
 
 
 def scanner_plugins(output: Column) -> Column:
-    """The plugins of a scanner's first JSON line, names in lower case, values as JSON text; null where there is none."""
+    """The plugins of a scanner's first JSON line, names in lower case; null where there is none.
+
+    A plugin's payload is JSON text of an object: an object as it is, a list as ``{"values": ...}``, anything else as ``{"value": ...}``.
+    """
     first = F.get(F.filter(F.transform(F.split(output, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[\[{]")), F.lit(0))
-    listed = F.get(F.from_json(F.when(first.startswith("["), first).otherwise(F.concat(F.lit("["), first, F.lit("]"))), "array<struct<target:string,plugins:map<string,string>>>"), F.lit(0))
-    return F.transform_keys(F.map_filter(listed["plugins"], lambda k, _: F.trim(k) != ""), lambda k, _: F.lower(F.trim(k)))
+    listed = F.get(F.from_json(F.when(first.startswith("["), first).otherwise(F.concat(F.lit("["), first, F.lit("]"))), "array<struct<target:string,plugins:map<string,variant>>>"), F.lit(0))
+    named = F.transform_keys(F.map_filter(listed["plugins"], lambda k, _: F.trim(k) != ""), lambda k, _: F.lower(F.trim(k)))
+
+    def payload(v: Column) -> Column:
+        text, kind = F.coalesce(F.to_json(v), F.lit("null")), F.schema_of_variant(v)
+        return F.when(kind.startswith("OBJECT"), text).when(kind.startswith("ARRAY"), F.concat(F.lit('{"values":'), text, F.lit("}"))).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}")))
+
+    return F.transform_values(named, lambda _, v: payload(v))

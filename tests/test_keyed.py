@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -43,3 +46,28 @@ def test_merge_rules(spark, rows):
     new = spark.createDataFrame([("both", 3, ["a", "x"], None, "new", None), ("fresh", 2, ["q"], "new", "new", "new")], kind)
     got = rows(keyed.merge(old, new, "k", {"s": "greatest", "p": "union", "n": "new", "o": "old_or_new", "b": "new_or_old"}))
     assert got == [("both", 5, ["a", "x"], None, "new", "old", "updated"), ("fresh", 2, ["q"], "new", "new", "new", "inserted"), ("kept", 1, None, "old", "old", "old", "kept")]
+
+
+def test_grids_and_chunks(spark, rows):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b"), (5, "c")], "id bigint, c string")
+    page = lambda **o: [r.id for r in keyed.sorted_page(df, "c", "id", 1, 3, ["c"], **o).collect()]
+    assert page() == [5, 4, 1] and page(descending=False) == [3, 4, 1]
+    with pytest.raises(ValueError):
+        keyed.sorted_page(df, "id", "id", 1, 3, ["c"])
+    seen, after = [], None
+    while chunk := [r.id for r in keyed.next_chunk(df, "id", after, 2).collect()]:
+        seen, after = seen + chunk, chunk[-1]
+    assert seen == [1, 2, 3, 4, 5]
+
+
+def test_documents_merge_in_an_upsert(spark):
+    old = spark.createDataFrame([("a", '{"x": {"p": 1, "q": 2}}'), ("b", "broken"), ("c", '{"k": 1}')], "k string, doc string")
+    new = spark.createDataFrame([("a", '{"x": {"q": 3}, "y": null}'), ("b", '{"z": 1}'), ("d", None)], "k string, doc string")
+    got = {r.k: r.doc for r in keyed.merge(old, new, "k", {"doc": "json"}).collect()}
+    assert json.loads(got["a"]) == {"x": {"p": 1, "q": 3}, "y": None} and json.loads(got["b"]) == {"z": 1} and got["c"] == '{"k": 1}' and got["d"] is None
+
+
+def test_bytes_and_rows_bound_a_broadcast(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 10, "c string")
+    marked = lambda **o: "ResolvedHint" in keyed.small_or_shuffled(df, **o)._jdf.queryExecution().analyzed().toString()
+    assert marked() and not marked(most=9) and not marked(most_bytes=5000)

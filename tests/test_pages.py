@@ -1,3 +1,5 @@
+import html
+
 from pyspark.sql import functions as F
 
 from lodestream.functions import pages
@@ -36,3 +38,30 @@ def test_sitemaps(spark):
     xml = '<urlset xmlns="x"><url><loc> https://a.de/1 </loc></url><url><LOC>https://a.de/2</LOC></url><url><loc>https://a.de/1</loc><loc/></url></urlset>'
     df = spark.createDataFrame([(xml,), ("<broken",), (None,)], "x string")
     assert [r.u for r in df.select(pages.sitemap_urls(F.col("x")).alias("u")).collect()] == [["https://a.de/1", "https://a.de/2"], [], []]
+
+
+def test_entities_are_resolved_as_the_standard_library_does(spark):
+    texts = ["a &amp; b", "&lt;p&gt; &amp;lt;", "&eacute;t&eacute; &euro; &#8364; &#x20AC; &#X1F6D2;", "&nope; &;&& &#; &#xD800; x&", "no entity", "&apos;&quot;", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.u for r in df.select(pages.unescape(F.col("t")).alias("u")).collect()]
+    assert [g for g, t in zip(got, texts, strict=True) if "xD800" not in t] == [html.unescape(t) for t in texts if "xD800" not in t]
+    assert got[3] == texts[3]  # half a surrogate pair is no character
+    plan = df.select(pages.page_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_columns_are_carried_and_fields_pruned(spark):
+    df = spark.createDataFrame([(7, PAGE, "k", "clash")], "n bigint, html string, site string, row_id string")
+    got = pages.parse_pages(df, "n", "html", F.lit("https://site.de/"), ("scripts",), site=F.col("site"))
+    assert got.columns == ["row_id", "site", "scripts"] and got.collect() == [(7, "k", ["https://site.de/a.js"])]
+
+
+def test_outer_domains(spark):
+    from lodestream.plans.index import outer_domains
+
+    page = '<a href="https://a.de/x">Online shop</a><a href="https://own.de/y">own</a><a href="http://www.b.nl">b</a><a href="https://www.facebook.com/z">f</a><a href="mailto:x@c.de">m</a>'
+    df = spark.createDataFrame([(1, page, "own.de"), (2, '<a href="https://a.de">a</a><a href="https://a.de/online">a</a>', None), (3, None, "own.de"), (4, "", None)], "i bigint, html string, own string")
+    parsed = pages.parse_pages(df, "i", "html", F.lit("https://own.de/"), ("anchors",), own=F.col("own"))
+    got = sorted(outer_domains(parsed, F.col("own"), ["facebook.com"], "online").collect())
+    assert got == [("a.de", 2, 2), ("b.nl", 1, 0)]
+    assert outer_domains(parsed.limit(0), F.col("own"), [], "x").count() == 0

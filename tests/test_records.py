@@ -70,6 +70,7 @@ def test_countries_and_endings(spark):
     df = spark.createDataFrame([("a.de", {"country": '{"version": ["at"]}'}), ("a.de", {"country": '{"version": "Austria"}'}), ("a.pl", {}), ("a.com", None), (None, {"country": '{"version": " ch "}'})], "d string, p map<string,string>")
     assert [r[0] for r in df.select(signals.country_hint(F.col("d"), F.col("p"))).collect()] == ["AT", "DE", "PL", None, "CH"]
     assert signals.endings(["DE", "at", "xx", "at", "ch"]) == ["at", "ch"] and signals.endings([], ["com", "io", "io"]) == ["io"]
+    assert signals.endings(["FR", "us", None]) == ["us"]  # not every hinted country has endings of its own
 
 
 def test_filters_without_a_value_are_left_out(spark):
@@ -77,3 +78,22 @@ def test_filters_without_a_value_are_left_out(spark):
 
     df = spark.range(10)
     assert where_given(df, [(None, F.col("id") < 0), ("", F.col("id") < 0), ([], F.col("id") < 0), (0, F.col("id") > 3)]).count() == 6
+
+
+def test_values_for_display(spark):
+    texts = ['[" a ", ["b", ["a", null, ""]], {"k": 1}, 5]', '"x"', "[]", "broken", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(json_docs.display_values(F.col("t"))).collect()] == [["a", "b", '{"k": 1}', "5"], ["x"], [], [], []]
+    kept = df.limit(1).select(json_docs.kept_json({"t": F.lit(None).cast("string"), "other": F.lit(1)}, ["t", "missing"])).first()[0]
+    assert kept == '{"t":null}'
+
+
+#: Fixed values that the queries' rule tables have to hold.
+def test_rule_tables():
+    from lodestream.functions import page_types, signals
+    from lodestream.plans import intake
+
+    assert signals.ENDING_COUNTRIES == {e: e.upper() for e in ("de", "at", "ch", "nl", "se", "ae", "us", "fr", "it", "es", "pl")}
+    assert list(signals.COUNTRY_ENDINGS) == ["de", "at", "ch", "nl", "se", "us", "ae"]
+    assert {k: len(v) for k, v in page_types.KINDS.items()} == {"product": 7, "category": 5, "cart": 3, "checkout": 4, "contact": 5}
+    assert intake.SEED_PATHS == ["", "/partners", "/brands", "/stockists", "/retailers"]

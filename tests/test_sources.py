@@ -45,7 +45,7 @@ def test_scanner_output(spark):
     outputs = ['noise\n[{"target": "x", "plugins": {" Shopify ": {"v": 1}, "": 1, "HTML5": "5"}}]', '{"plugins": {"Vue": [1]}}', "nothing", None]
     df = spark.createDataFrame([(o,) for o in outputs], "o string")
     got = [r.p for r in df.select(C.scanner_plugins(F.col("o")).alias("p")).collect()]
-    assert got == [{"shopify": '{"v":1}', "html5": "5"}, {"vue": "[1]"}, None, None]
+    assert got == [{"shopify": '{"v":1}', "html5": '{"value":"5"}'}, {"vue": '{"values":[1]}'}, None, None]
 
 
 def test_paged_source_stops_at_a_sparse_page(spark, tmp_path):
