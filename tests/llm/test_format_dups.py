@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestream.functions.writing import canonical_host
+from lodestream.llm.forms import canonical_host
 from lodestream.llm import format_dups
 
 
