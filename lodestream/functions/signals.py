@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestream.functions.urls import top_label
+from lodestream.functions.writing import let
 
 #: For each country its top-level domains, URL patterns and host words that prove it, and
 #: URL patterns that only prove its language.
@@ -108,9 +109,14 @@ def first_segment(url: Column, patterns: list[str] | None = None) -> Column:
     return F.coalesce(*(F.when(F.contains(low, F.lit(f"/{w}")), F.lit(f"/{w}")) for w in words))
 
 
+def map_values(m: Column) -> Column:
+    """A map's entries as ``name:value`` in lower case; none for null."""
+    return F.coalesce(F.transform(F.map_entries(m), lambda e: F.lower(F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit(""))))), F.array().cast("array<string>"))
+
+
 def map_lines(m: Column) -> Column:
-    """A map's entries as ``name:value`` in lower case, one on each line; '' for null."""
-    return F.coalesce(F.array_join(F.transform(F.map_entries(m), lambda e: F.lower(F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit(""))))), "\n"), F.lit(""))
+    """The same, one entry on each line; '' for null."""
+    return F.array_join(map_values(m), "\n")
 
 
 def lines(*parts: Column) -> Column:
@@ -119,21 +125,33 @@ def lines(*parts: Column) -> Column:
 
 
 def platform(html: Column, headers: Column, cookies: Column, scripts: Column, links: Column, plugins: Column) -> Column:
-    """struct(platform, confidence in hundredths, signals, stack) of a page by weighted rules.
+    """struct(platform, confidence in hundredths, signals as ``part:value``, stack) of a page by weighted rules.
 
     The rule with the highest confidence at or above its threshold wins, the earlier one on a tie. Without
     a winner, two words of shop navigation make it ``custom_ecommerce``.
     """
-    text = F.lower(F.coalesce(html, F.lit("")))
-    parts = {"html": text, "headers": map_lines(headers), "cookies": map_lines(cookies), "scripts": lines(scripts), "whatweb": F.coalesce(F.lower(F.array_join(F.map_keys(plugins), "\n")), F.lit(""))}
-    candidates = []
-    for i, (name, (threshold, signals)) in enumerate(PLATFORMS.items()):
-        found = {p: parts[p].rlike(rx) for p, (_, rx) in signals.items()}
-        total = sum(w for w, _ in signals.values())
-        points = sum((F.when(found[p], w).otherwise(0) for p, (w, _) in signals.items()), F.lit(0))
-        share = F.floor((points * 200 + total) / (2 * total)).cast("int")
-        won = F.struct(share.alias("confidence"), F.lit(-i).alias("order"), F.lit(name).alias("platform"), _hits([(found[p], p) for p in signals]).alias("signals"))
-        candidates.append(F.when(share >= threshold, won))
+    text, none = F.lower(F.coalesce(html, F.lit(""))), F.array().cast("array<string>")
+    low = lambda a: F.transform(F.coalesce(a, none), lambda v: F.lower(v))
+    values = {"headers": map_values(headers), "cookies": map_values(cookies), "scripts": low(scripts), "whatweb": low(F.map_keys(plugins))}
+
+    def said(part: str, rx: str) -> Column:
+        """What speaks for a rule in one part: of a page the first place that matches, else every value that does."""
+        if part == "html":
+            return F.when(text.rlike(rx), F.array(F.regexp_extract(text, f"({rx})", 1))).otherwise(none)
+        return F.filter(values[part], lambda v: v.rlike(rx))
+
+    def candidate(order: int, name: str, threshold: int, rules: dict) -> Column:
+        total = sum(w for w, _ in rules.values())
+        named = lambda f, p: F.transform(f[p], lambda v: F.concat(F.lit(f"{p}:"), v))
+
+        def judged(f: Column) -> Column:
+            points = sum((F.when(F.size(f[p]) > 0, w).otherwise(0) for p, (w, _) in rules.items()), F.lit(0))
+            share = F.floor((points * 200 + total) / (2 * total)).cast("int")
+            return F.when(share >= threshold, F.struct(share.alias("confidence"), F.lit(order).alias("order"), F.lit(name).alias("platform"), F.concat(*(named(f, p) for p in rules)).alias("signals")))
+
+        return let(F.struct(*(said(p, rx).alias(p) for p, (_, rx) in rules.items())), judged)
+
+    candidates = [candidate(-i, name, *rule) for i, (name, rule) in enumerate(PLATFORMS.items())]
     best = F.array_max(F.array_compact(F.array(*candidates)))
     shown = lines(text, links)
     custom = sum((F.contains(shown, F.lit(w)).cast("int") for w in NAVIGATION), F.lit(0)) >= 2
@@ -141,7 +159,7 @@ def platform(html: Column, headers: Column, cookies: Column, scripts: Column, li
     return F.struct(
         F.coalesce(best["platform"], F.when(custom, F.lit("custom_ecommerce")), F.lit("unknown")).alias("platform"),
         F.coalesce(best["confidence"], F.when(custom, 55).otherwise(0)).alias("confidence"),
-        F.coalesce(best["signals"], F.when(custom, F.array(F.lit("navigation"))), F.array().cast("array<string>")).alias("signals"),
+        F.coalesce(best["signals"], F.when(custom, F.array(F.lit("heuristic:ecommerce_navigation"))), none).alias("signals"),
         _hits([(everything.rlike(rx), name) for name, rx in STACK.items()]).alias("stack"),
     )
 

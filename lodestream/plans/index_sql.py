@@ -95,22 +95,35 @@ def _map_lines(m: str) -> str:
     return f"coalesce(array_to_string(list_transform(map_entries({m}), lambda e: lower(e.key || ':' || coalesce(e.value, ''))), chr(10)), '')"
 
 
+def _map_values(m: str) -> str:
+    return f"coalesce(list_transform(map_entries({m}), lambda e: lower(e.key || ':' || coalesce(e.value, ''))), [])"
+
+
+def _said(part: str, rx: str) -> str:
+    if part == "html":
+        return f"case when regexp_matches(html, {_q(rx)}) then [regexp_extract(html, {_q('(' + rx + ')')}, 1)] else [] end"
+    return f"list_filter({part}, lambda v: regexp_matches(v, {_q(rx)}))"
+
+
 def _platforms() -> str:
-    scripts = "lower(array_to_string(list_concat(coalesce(script_urls, []), coalesce(stylesheet_urls, [])), chr(10)))"
-    parts = {"html": "lower(coalesce(html, ''))", "headers": _map_lines("headers"), "cookies": _map_lines("cookies"), "scripts": scripts, "whatweb": "coalesce(lower(array_to_string(map_keys(whatweb_plugins), chr(10))), '')"}
-    text = "with p as (select bundle_id, coalesce(links, []) as links, " + ", ".join(f"{e} as {n}" for n, e in parts.items()) + " from page_bundles), rules as ("
-    text += " union all ".join(
-        f"select bundle_id, {i} as rank, '{name}' as platform, {threshold} as threshold, floor((({' + '.join(f'case when regexp_matches({part}, {_q(rx)}) then {w} else 0 end' for part, (w, rx) in of.items())}) * 200 + {(total := sum(w for w, _ in of.values()))}) / {2 * total}.0)::int as confidence, "
-        f"array_to_string({_hits([(f'regexp_matches({part}, {_q(rx)})', part) for part, (w, rx) in of.items()])}, '|') as signals from p"
+    low = lambda e: f"list_transform({e}, lambda v: lower(v))"
+    parts = {"html": "lower(coalesce(html, ''))", "headers": _map_values("headers"), "cookies": _map_values("cookies"), "scripts": low("list_concat(coalesce(script_urls, []), coalesce(stylesheet_urls, []))"), "whatweb": low("coalesce(map_keys(whatweb_plugins), [])")}
+    text = "with p as (select bundle_id, coalesce(links, []) as links, " + ", ".join(f"{e} as {n}" for n, e in parts.items()) + " from page_bundles), "
+    for i, (_, (_, of)) in enumerate(signals.PLATFORMS.items()):
+        text += f"f{i} as (select bundle_id, {', '.join(f'{_said(part, rx)} as s_{part}' for part, (_, rx) in of.items())} from p), "
+    text += "rules as (" + " union all ".join(
+        f"select bundle_id, {i} as rank, '{name}' as platform, {threshold} as threshold, floor((({' + '.join(f'case when len(s_{part}) > 0 then {w} else 0 end' for part, (w, _) in of.items())}) * 200 + {(total := sum(w for w, _ in of.values()))}) / {2 * total}.0)::int as confidence, "
+        f"array_to_string(flatten([{', '.join(f'list_transform(s_{part}, lambda v: {_q(part + chr(58))} || v)' for part in of)}]), '|') as signals from f{i}"
         for i, (name, (threshold, of)) in enumerate(signals.PLATFORMS.items())
     )
+    joined = "lower(array_to_string(scripts, chr(10)))"
     shown = "html || chr(10) || lower(array_to_string(links, chr(10)))"
     custom = " + ".join(f"case when contains({shown}, '{w}') then 1 else 0 end" for w in signals.NAVIGATION)
-    stack = _hits([(f"regexp_matches(html || chr(10) || scripts, {_q(rx)})", n) for n, rx in signals.STACK.items()])
+    stack = _hits([(f"regexp_matches(html || chr(10) || {joined}, {_q(rx)})", n) for n, rx in signals.STACK.items()])
     return text + f"""), best as (select *, row_number() over (partition by bundle_id order by confidence desc, rank) as rn from rules where confidence >= threshold),
 rest as (select bundle_id, {custom} >= 2 as custom, array_to_string({stack}, '|') as stack from p)
 select r.bundle_id, coalesce(b.platform, case when custom then 'custom_ecommerce' end, 'unknown') as platform, coalesce(b.confidence, case when custom then 55 else 0 end) as confidence,
-  coalesce(b.signals, case when custom then 'navigation' end, '') as signals, r.stack from rest r left join best b on r.bundle_id = b.bundle_id and b.rn = 1"""
+  coalesce(b.signals, case when custom then 'heuristic:ecommerce_navigation' end, '') as signals, r.stack from rest r left join best b on r.bundle_id = b.bundle_id and b.rn = 1"""
 
 
 def _latest(t: str, key: str, at: str, rid: str) -> str:
@@ -169,5 +182,7 @@ SQL = {
       select distinct bundle_id, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') || regexp_extract(url, '^[^?#]*(\?[^#]+)', 1) as url from u where {_site('url')} = {_site('site')}""",
     "r_outer_domains": rf"""with e as (select candidate_id, {discovery(url_host('source_url'))} as own, {discovery(url_host("'https://' || regexp_replace(regexp_replace(domain, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+$', ''), '[" + chr(9) + chr(10) + chr(13) + "]', '', 'g')"))} as d, contains(lower(coalesce(keyword_seed, '') || ' https://' || domain), 'online') as named from discovered_candidates where domain is not null)
       select d as domain, count(distinct candidate_id) as n_pages, sum(named::int) as n_named from e where d is not null and d not in ('facebook.com', 'google.com', 'instagram.com', 'linkedin.com', 'pinterest.com', 'twitter.com', 'youtube.com') and (own is null or d <> own) group by 1""",
+    "r_page_assets": r"""with a as (select bundle_id, regexp_extract(coalesce(whatweb_target_url, ''), '^(https?://[^/?#]*)', 1) as site, regexp_extract_all(coalesce(html, ''), '<script\b[^>]*?\bsrc="([^"]+)"', 1) as s, regexp_extract_all(coalesce(html, ''), '<link\b[^>]*?\brel="stylesheet"') as c, list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '<meta\b[^>]*?\b(?:name|property)="([^"]+)"', 1), lambda x: lower(x))) as m from page_bundles)
+      select bundle_id, array_to_string(list_transform(s, lambda x: case when regexp_matches(x, '^https?://') then x else site || x end), '|') as scripts, len(c)::int as n_stylesheets, len(m)::int as n_meta from a""",
     "r_page_text": f"select bundle_id, length(t) as n_chars, md5(t) as digest, contains(t, 'cart')::int + contains(t, 'shop')::int + contains(t, 'checkout')::int as n_words from (select bundle_id, {page_text('html')} as t from page_bundles)",
 }

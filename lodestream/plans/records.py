@@ -46,7 +46,8 @@ def r_patched(spark: SparkSession, folder: str) -> DataFrame:
 def r_merged_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The metadata of each domain merged into a default document, to any depth."""
     default = F.lit('{"store_name": "none given", "seen": {"by": ["crawl"]}}')
-    return table(spark, folder, "domains").select("id", json_docs.merge_json(default, F.col("metadata")).alias("metadata"))
+    merged = table(spark, folder, "domains").select("id", json_docs.merge_json(default, F.col("metadata")).alias("m"))
+    return merged.select("id", *(F.get_json_object("m", f"$.{k}").alias(n) for n, k in (("store_name", "store_name"), ("seen", "seen.by[0]"), ("contact_url", "contact_url"))))
 
 
 def r_page_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,6 +89,7 @@ _BROKEN = {
 QUERIES = {f.__name__: f for f in (r_broken_rules, r_resolved_ids, r_patched, r_merged_documents, r_page_kinds, r_domain_products, r_country_hints, r_product_links)}
 _SITE = discovery(url_host("whatweb_target_url"))
 SQL = {
+    "r_merged_documents": "with m as (select id, case when json_valid(metadata) and json_type(metadata) = 'OBJECT' then metadata else '{}' end as m from domains) select id, case when list_contains(json_keys(m), 'store_name') then m ->> '$.store_name' else 'none given' end as store_name, 'crawl' as seen, m ->> '$.contact_url' as contact_url from m",
     "r_country_hints": f"select case {' '.join(f"when split_part({_SITE}, '.', -1) = '{e}' then '{c}'" for e, c in signals.ENDING_COUNTRIES.items())} end as country, count(*) as n_pages from page_bundles group by 1",
     "r_product_links": "with l as (select nullif(len(list_filter(coalesce(links, []), lambda u: regexp_matches(lower(u), '/product|/item|sku'))), 0)::int as n, len(coalesce(links, [])) as m from page_bundles) select n as n_links, coalesce(n, 0) || ' of ' || m as said, count(*) as n_pages from l group by 1, 2",
     "r_broken_rules": "select failed, count(*) as n_rows from (select array_to_string(list_filter([" + ", ".join(f"case when not coalesce({t}, false) then '{n}' end" for n, t in _BROKEN.items()) + "], lambda x: x is not null), '|') as failed from domains) group by 1",

@@ -73,4 +73,6 @@ def test_platforms(spark):
     df = spark.createDataFrame(rows, "h string, a map<string,string>, c map<string,string>, s array<string>, l array<string>, p map<string,string>")
     got = [r.f for r in df.select(signals.platform(*(F.col(c) for c in "hacslp")).alias("f")).collect()]
     assert [(x.platform, x.confidence) for x in got] == [("shopify", 45), ("woocommerce", 50), ("custom_ecommerce", 55), ("unknown", 0), ("prestashop", 50)]
-    assert got[0].signals == ["html", "headers"] and got[2].stack == ["vue"]
+    assert got[0].signals == ["html:cdn.shopify.com", "headers:x-shopify:1"] and got[2].stack == ["vue"]
+    assert got[1].signals == ["cookies:woocommerce_session:a", "scripts:/wp-content/x.js"] and got[2].signals == ["heuristic:ecommerce_navigation"]
+    assert got[4].signals == ["html:prestashop", "cookies:prestashop:1"] and got[3].signals == []
