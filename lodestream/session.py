@@ -28,7 +28,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet into the shared folder and read it again.
 
     Columnar and compressed, so it's smaller than ``checkpoint()``, and it survives the
-    loss of any executor. The table is removed when the driver's Python ends.
+    loss of any executor. The table is removed by ``release``, at the latest when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
@@ -43,13 +43,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Remove the intermediate tables written so far: for long sessions, once the results that read them have been written."""
+    while _written:
+        spark, path = _written.pop()
+        remove(spark, path)
+
+
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM is gone; the folder's owner removes it
-            return
+    try:
+        release()
+    except Exception:  # the JVM is gone; the folder's owner removes it
+        return
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
