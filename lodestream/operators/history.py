@@ -150,7 +150,7 @@ class Dimension:
         closed = reduce(DataFrame.unionByName, (df.withColumn("_no", F.lit(i)) for i, df in enumerate(self.closed)))
         if self.void:
             void = reduce(DataFrame.unionByName, self.void).groupBy("entity").agg(F.max("_void").alias("_void"))
-            closed = closed.join(small_or_shuffled(void), "entity", "left").where("_void is null or _no >= _void")
+            closed = closed.join(small_or_shuffled(void, write=False), "entity", "left").where("_void is null or _no >= _void")
         return closed.select(*COLUMNS).unionByName(self.current.select(*COLUMNS))
 
 
@@ -179,7 +179,7 @@ def merge_history(dimension: Dimension, updates: DataFrame, partitions: int | No
     events, void = updates, dimension.void
     if not touched.where("late").isEmpty():
         late = touched.where("late").select("entity")
-        few = small_or_shuffled(late)
+        few = small_or_shuffled(late, write=False)
         whole = reduce(DataFrame.unionByName, (*dimension.log, updates)).join(few, "entity", "left_semi")
         events = updates.join(few, "entity", "left_anti").unionByName(observations(whole, "entity", F.col("value"), "at", "row_id"))
         void = (*void, late.withColumn("_void", F.lit(no)))

@@ -13,12 +13,12 @@ from lodestream.session import materialize
 MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 500_000, 32 * 2**20
 
 
-def small_or_shuffled(df: DataFrame, most: int = MOST_BROADCAST_ROWS, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+def small_or_shuffled(df: DataFrame, most: int = MOST_BROADCAST_ROWS, most_bytes: int = MOST_BROADCAST_BYTES, write: bool = True) -> DataFrame:
     """``df``, written once, and marked for broadcasting if it has been measured to have at most ``most`` rows and ``most_bytes`` bytes.
 
-    Its columns are numbers, times, strings and bytes.
+    Its columns are numbers, times, strings and bytes. ``write`` is false for what was written already and is only filtered.
     """
-    df = materialize(df, "names")
+    df = materialize(df, "names") if write else df
     width = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(8) for f in df.schema]
     head = df.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(sum(width, F.lit(0))).alias("size")).first()
     return F.broadcast(df) if head.n <= most and (head.size or 0) <= most_bytes else df

@@ -22,10 +22,11 @@ def _merged(df: DataFrame, value: str, at: str, row_id: str) -> DataFrame:
     """The versions after merging a log batch by batch, in the order in which it was loaded."""
     first, last = df.agg(F.min(row_id), F.max(row_id)).first()
     step = ((last or 0) - (first or 0)) // BATCHES + 1
-    of = F.coalesce(F.floor((F.col(row_id) - (first or 0)) / step), F.lit(0))
-    dimension = Dimension()
+    dimension, rid = Dimension(), F.col(row_id)
     for i in range(BATCHES):
-        dimension = merge_history(dimension, observations(df.where(of == i), "domain_id", trimmed_lower(F.col(value)), at, row_id))
+        begin = (first or 0) + i * step
+        batch = (rid >= begin) & (rid < begin + step)  # as a range, so that it reaches the scan
+        dimension = merge_history(dimension, observations(df.where(batch if i else batch | rid.isNull()), "domain_id", trimmed_lower(F.col(value)), at, row_id))
     return dimension.versions()
 
 
