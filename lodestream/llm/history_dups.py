@@ -149,31 +149,45 @@ def _blocks(held: list, hid: np.ndarray, era: np.ndarray, labels: list[int]) ->
     ends = np.r_[0, np.searchsorted(chunk, np.array([(i << 64) // len(labels) for i in range(1, len(labels))], np.uint64)), len(chunk)]
     for i in np.flatnonzero(ends[1:] > ends[:-1]):
         at = slice(ends[i], ends[i + 1])
-        rows, index = np.unique(place[at], return_inverse=True)
+        present = np.zeros(len(hid), bool)
+        present[place[at]] = True
+        rows, index = np.flatnonzero(present), (np.cumsum(present) - 1)[place[at]]
         yield pa.record_batch([pa.array([labels[i]], pa.int32()), pa.array([_pack(chunk[at], form[at], era[rows], index, hid[rows])], pa.binary())], names=["part", "block"])
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, which compress better than whole numbers."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).ravel(), at + size * n
+
+
 def _pack(chunk: np.ndarray, form: np.ndarray, era: np.ndarray, index: np.ndarray | None = None, hid: np.ndarray | None = None) -> bytes:
-    """Entries sorted by chunk as one compressed block, by planes of bytes. With ``index``, eras and ids are of the records it points to."""
-    planes = [np.ascontiguousarray(chunk.view(np.uint8).reshape(-1, 8).T), np.ascontiguousarray(form.T), era.astype(np.int32)]
+    """Entries sorted by chunk as one compressed block: steps between chunks, gaps, eras. With ``index``, eras and ids are of the records it points to."""
+    kind = np.uint16 if len(era) < 1 << 16 else np.uint32
+    parts = [np.array([len(chunk), len(era), 0 if index is None else kind().itemsize], np.int64).tobytes(), _planes(np.diff(chunk, prepend=np.uint64(0))), form.T.tobytes(), _planes(era.astype(np.int32))]
     if index is not None:
-        planes += [np.ascontiguousarray(index.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), hid.astype(np.int64)]
-    raw = np.array([len(chunk), len(era)], np.int64).tobytes() + b"".join(p.tobytes() for p in planes)
+        parts += [_planes(index.astype(kind)), hid.astype(np.int64).tobytes()]
+    raw = b"".join(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """(chunk, form, era, hid) of each entry of a block; stored blocks have no ids."""
     raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
-    n, rows = map(int, np.frombuffer(raw, np.int64, 2))
-    chunk = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n).T).view(np.uint64).ravel()
-    form = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 3 * n, 16 + 8 * n).reshape(3, n).T)
-    era = np.frombuffer(raw, np.int32, rows, at := 16 + 11 * n)
-    if len(raw) == at + 4 * rows:
+    n, rows, size = map(int, np.frombuffer(raw, np.int64, 3))
+    step, at = _from_planes(raw, np.uint64, n, 24)
+    with np.errstate(over="ignore"):
+        chunk = np.cumsum(step, dtype=np.uint64)
+    form = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 3 * n, at).reshape(3, n).T)
+    era, at = _from_planes(raw, np.int32, rows, at + 3 * n)
+    if not size:
         return chunk, form, era, None
-    index = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at := at + 4 * rows).reshape(4, n).T).view(np.uint32).ravel()
-    hid = np.frombuffer(raw, np.int64, rows, at + 4 * n)
-    return chunk, form, era[index], hid[index]
+    index, at = _from_planes(raw, np.uint16 if size == 2 else np.uint32, n, at)
+    return chunk, form, era[index], np.frombuffer(raw, np.int64, rows, at)[index]
 
 
 def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,22 +201,20 @@ def _edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return i + j - common
 
 
-def _looked_up(asked: tuple, stored: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place, era) of the entries asked for that a stored entry of an earlier era covers up to ``EDITS`` characters.
+def _met(chunk: np.ndarray, stored: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of equal chunks in two sorted arrays, one stored entry of each chunk at a time.
 
     A chunk has a bounded number of stored entries, so the loop is short however many records share it.
     """
-    chunk, form, era = asked[:3]
-    at, end = np.searchsorted(stored[0], chunk, "left"), np.searchsorted(stored[0], chunk, "right")
-    open_ = np.flatnonzero(at < end)
+    at = np.searchsorted(stored, chunk)
+    open_ = np.flatnonzero(at < len(stored))
     at = at[open_]
     while len(open_):
-        hit = (stored[2][at] < era[open_]) & (_edits(form[open_], stored[1][at]) <= EDITS)
-        if hit.any():
-            yield open_[hit], stored[2][at[hit]]
-        at = at + 1
-        more = at < end[open_]
-        open_, at = open_[more], at[more]
+        equal = stored[at] == chunk[open_]
+        open_, at = open_[equal], at[equal]
+        yield open_, at
+        more = at + 1 < len(stored)
+        open_, at = open_[more], at[more] + 1
 
 
 def _decided(label: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
@@ -223,27 +235,26 @@ def _decided(label: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     within = at[np.lexsort((era[at], code[at], chunk[at]))]
     form[at], era[at], hid[at], code[at] = form[within], era[within], hid[within], code[within]
     first = np.r_[True, ~same | (code[1:] != code[:-1])] & (era < _NO_ERA)  # the earliest era of each chunk and gaps
-    own = chunk[first], form[first], era[first]
     several = first & shared
     found: dict[int, int] = {}
-    asked = chunk, form, era, hid
-    for mine, stored in ((tuple(c[shared] for c in asked), (chunk[several], form[several], era[several])), *((asked, k) for k in known)):
-        for place, of in _looked_up(mine, stored):
-            hids, index = np.unique(mine[3][place], return_inverse=True)
-            low = np.full(len(hids), _NO_ERA, np.int64)
-            np.minimum.at(low, index, of)
-            for h, e in zip(hids.tolist(), low.tolist(), strict=True):
+    fresh = np.ones(len(chunk), bool)  # what is stored already isn't appended again
+    pool = (np.flatnonzero(shared), chunk[several], form[several], era[several], None)
+    for mine, chunks, forms, eras, codes in (pool, *((slice(None), *k[:3], _codes(k[1])) for k in known)):
+        hids, own_form, own_era, own_code = hid[mine], form[mine], era[mine], code[mine]
+        for place, at in _met(chunk[mine], chunks):
+            if codes is not None:
+                fresh[place[codes[at] == own_code[place]]] = False
+            earlier = eras[at] < own_era[place]
+            place, at = place[earlier], at[earlier]
+            near = _edits(own_form[place], forms[at]) <= EDITS
+            who, index = np.unique(hids[place[near]], return_inverse=True)
+            low = np.full(len(who), _NO_ERA, np.int64)
+            np.minimum.at(low, index, eras[at[near]])
+            for h, e in zip(who.tolist(), low.tolist(), strict=True):
                 found[h] = min(e, found.get(h, e))
-    fresh = np.ones(len(own[0]), bool)
-    new_code = code[first]
-    for stored in known:  # what is stored already isn't appended again
-        fresh &= ~_contained(own[0], new_code, stored)
+    kept = first & fresh
     hits = pa.array([[{"hid": h, "era": e} for h, e in found.items()]], _HITS)
-    return pa.table({"part": pa.array([label[0].as_py()], pa.int32()), "block": pa.array([_pack(own[0][fresh], own[1][fresh], own[2][fresh])], pa.binary()), "hits": hits})
-
-
-_HITS_SQL = "hits array<struct<hid: bigint, era: int>>"
-_HITS = pa.list_(pa.struct([("hid", pa.int64()), ("era", pa.int32())]))
+    return pa.table({"part": pa.array([label[0].as_py()], pa.int32()), "block": pa.array([_pack(chunk[kept], form[kept], era[kept])], pa.binary()), "hits": hits})
 
 
 def _codes(form: np.ndarray) -> np.ndarray:
@@ -251,18 +262,8 @@ def _codes(form: np.ndarray) -> np.ndarray:
     return form[:, 0].astype(np.uint32) << np.uint32(16) | form[:, 1].astype(np.uint32) << np.uint32(8) | form[:, 2]
 
 
-def _contained(chunk: np.ndarray, code: np.ndarray, stored: tuple) -> np.ndarray:
-    """Whether each entry stands in a stored block, which is sorted by chunk and gaps."""
-    theirs = _codes(stored[1])
-    at, end = np.searchsorted(stored[0], chunk, "left"), np.searchsorted(stored[0], chunk, "right")
-    out, open_ = np.zeros(len(chunk), bool), np.flatnonzero(at < end)
-    at = at[open_]
-    while len(open_):
-        out[open_[theirs[at] == code[open_]]] = True
-        at = at + 1
-        more = at < end[open_]
-        open_, at = open_[more], at[more]
-    return out
+_HITS_SQL = "hits array<struct<hid: bigint, era: int>>"
+_HITS = pa.list_(pa.struct([("hid", pa.int64()), ("era", pa.int32())]))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
