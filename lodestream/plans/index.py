@@ -100,7 +100,7 @@ def r_merge(spark: SparkSession, folder: str) -> DataFrame:
 def r_domain_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The normal forms of every discovered domain."""
     d, host = F.col("domain"), urls.discovery_domain(F.col("domain"))
-    out = table(spark, folder, "discovered_candidates").select("candidate_id", host.alias("discovery"), urls.ingest_domain(d).alias("ingest"), urls.fingerprint_domain(d).alias("fingerprint"), urls.promote_domain(d).alias("promote"))
+    out = table(spark, folder, "discovered_candidates").select("candidate_id", host.alias("discovery"), urls.ingest_domain(d).alias("ingest"), urls.fingerprint_domain(d).alias("fingerprint"), urls.promote_domain(d).alias("promote"), urls.plain_host(d).alias("plain"))
     return out.select("*", urls.second_label(F.col("discovery")).alias("second_label"), urls.top_label(F.col("discovery")).alias("top_label"), urls.homepage(F.col("ingest")).alias("homepage"))
 
 
@@ -156,18 +156,28 @@ def r_domain_overview(spark: SparkSession, folder: str) -> DataFrame:
     return domains.join(prints, "id", "left").join(status, "id", "left").join(sources, "id", "left").select("id", "normalized_domain", "latest_platform", "latest_status", F.coalesce("n", F.lit(0)).alias("n_sources"))
 
 
-def r_domain_page(spark: SparkSession, folder: str) -> DataFrame:
-    """The second page of domains under optional filters, newest first, with whether a crawl found them."""
-    given = {"country": "de", "niche": None, "least": 20, "most": None, "word": "R"}
-    d = keyed.where_given(
-        table(spark, folder, "domains"),
+def filtered(domains: DataFrame, word=None, status=None, platform=None, country=None, niche=None, business_model=None, least=None, most=None) -> DataFrame:
+    """Domains under up to eight optional filters; one that isn't given leaves its condition out."""
+    same = lambda c, v: F.col(c) == F.lit(v)
+    return keyed.where_given(
+        domains,
         [
-            (given["country"], F.upper("country") == F.upper(F.lit(given["country"]))), (given["niche"], F.col("niche") == F.lit(given["niche"])), (given["least"], F.col("confidence") >= F.lit(given["least"])),
-            (given["most"], F.col("confidence") <= F.lit(given["most"])), (given["word"], F.contains(F.lower("normalized_domain"), F.lower(F.lit(given["word"])))),
+            (word, F.contains(F.lower("normalized_domain"), F.lower(F.lit(word)))), (status, same("status", status)), (platform, same("platform", platform)), (country, F.upper("country") == F.upper(F.lit(country))),
+            (niche, same("niche", niche)), (business_model, same("business_model", business_model)), (least, F.col("confidence") >= F.lit(least)), (most, F.col("confidence") <= F.lit(most)),
         ],
     )
+
+
+def r_domain_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of domains that a crawl found, newest first, under some and under the other optional filters."""
+    domains = table(spark, folder, "domains")
     crawled = table(spark, folder, "domain_sources").where("source_type = 'common_crawl'").select(F.col("domain_id").alias("id"))
-    return keyed.page_of(d.join(crawled, "id", "left_semi"), 2, 25, F.desc_nulls_last("updated_at"), F.desc("id")).select("id", "normalized_domain", "platform", F.col("confidence").cast("double").alias("confidence"))
+
+    def page(name: str, rows: DataFrame, number: int) -> DataFrame:
+        shown = keyed.page_of(rows.join(crawled, "id", "left_semi"), number, 25, F.desc_nulls_last("updated_at"), F.desc("id"))
+        return shown.select(F.lit(name).alias("page"), "id", "normalized_domain", "platform", F.col("confidence").cast("double").alias("confidence"))
+
+    return page("a", filtered(domains, country="de", least=20, word="R"), 2).unionByName(page("b", filtered(domains, status="pending", business_model="b2c", most=95), 1)).unionByName(page("c", filtered(domains, platform="shopify", niche="toys"), 1))
 
 
 def r_dashboard(spark: SparkSession, folder: str) -> DataFrame:

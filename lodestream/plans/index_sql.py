@@ -142,7 +142,7 @@ SQL = {
         {_TAIL.format('case when n.domain is null then o.cs else n.cs end')} as country_signals, coalesce(o.source_url, n.source_url) as source_url, case when n.domain is null then o.crawl_id else n.crawl_id end as crawl_id,
         {_DAY.format('case when n.domain is null then o.seen else n.seen end')} as last_seen_at, case when n.domain is null then 'kept' when o.domain is null then 'inserted' else 'updated' end as merge_state
       from o full join n on o.domain = n.domain""",
-    "r_domain_forms": rf"""with d as (select candidate_id, {discovery('domain')} as discovery, regexp_replace(split_part({_bare('domain')}, '/', 1), '\.+$', '') as ingest, regexp_replace({_bare('domain')}, '/+$', '') as fingerprint, nullif(split_part({_bare('domain')}, '/', 1), '') as promote from discovered_candidates)
+    "r_domain_forms": rf"""with d as (select candidate_id, {discovery('domain')} as discovery, regexp_replace(split_part({_bare('domain')}, '/', 1), '\.+$', '') as ingest, regexp_replace({_bare('domain')}, '/+$', '') as fingerprint, nullif(split_part({_bare('domain')}, '/', 1), '') as promote, regexp_replace(lower({_strip('domain')}), '^www\.', '') as plain from discovered_candidates)
       select *, case when contains(discovery, '.') then split_part(discovery, '.', -2) else discovery end as second_label, split_part(discovery, '.', -1) as top_label, case when regexp_matches(ingest, '^https?://') then ingest else 'https://' || ingest end as homepage from d""",
     "r_suffix_matches": f"""with h as (select distinct {discovery('domain')} as host from common_crawl_domains), n as (select distinct {discovery('normalized_domain')} as name from domains)
       select host, arg_max(name, length(name)) as listed from h join n on host = name or ends_with(host, '.' || name) group by host""",
@@ -155,7 +155,7 @@ SQL = {
     "r_domain_overview": f"""select d.id, d.normalized_domain, f.platform as latest_platform, s.status as latest_status, coalesce(n.n, 0) as n_sources from domains d
       left join {_latest('domain_fingerprints', 'domain_id', 'detected_at', 'id')} f on f.domain_id = d.id left join {_latest('domain_status_snapshots', 'domain_id', 'snapshot_at', 'snapshot_id')} s on s.domain_id = d.id
       left join (select domain_id, count(*) as n from domain_sources group by 1) n on n.domain_id = d.id""",
-    "r_domain_page": "select id, normalized_domain, platform, confidence::double as confidence from domains where upper(country) = 'DE' and confidence >= 20 and contains(lower(normalized_domain), 'r') and id in (select domain_id from domain_sources where source_type = 'common_crawl') order by updated_at desc nulls last, id desc limit 25 offset 25",
+    "r_domain_page": " union all ".join(f"(select '{n}' as page, id, normalized_domain, platform, confidence::double as confidence from domains where {w} and id in (select domain_id from domain_sources where source_type = 'common_crawl') order by updated_at desc nulls last, id desc limit 25 offset {o})" for n, w, o in (("a", "upper(country) = 'DE' and confidence >= 20 and contains(lower(normalized_domain), 'r')", 25), ("b", "status = 'pending' and business_model = 'b2c' and confidence <= 95", 0), ("c", "platform = 'shopify' and niche = 'toys'", 0))),
     "r_dashboard": "select count(*) as n_domains, count(*) filter (confidence >= 70) as n_sure, count(*) filter (business_model = 'b2b') as n_b2b, count(*) filter (visited_at is null) as n_new, round(coalesce(sum(confidence) / count(confidence), 0), 2)::double as mean_confidence from domains",
     "r_platform_counts": "select platform, count(*) as n_domains from domains where platform is not null group by 1 order by 2 desc, 1 limit 4",
     "r_filter_values": " union ".join(f"select '{c}' as name, {c} as value from domains where {c} is not null" for c in ("platform", "niche", "business_model", "status")),

@@ -18,23 +18,38 @@ _second = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
 # --- index files -------------------------------------------------------------------------------------------
-def r_index_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of an index's files, whose columns differ; one file can't be read and is missing in the counts."""
+def _index_files(spark: SparkSession, folder: str) -> tuple[list[str], DataFrame]:
+    """The files of an index written in two crawls whose columns differ, with one that can't be read, and their rows."""
     raw = table(spark, folder, "crawl_candidates").select(F.coalesce("candidate_url", F.lit("")).alias("url"), F.from_json("source_metadata", "crawl string, status string, languages string").alias("m"))
     rows = raw.select("url", "m.*")
     root = f"{shared_dir(spark)}/lodestream/files-{uuid.uuid4().hex}"
     newest = F.col("crawl").isNotNull() & F.endswith("crawl", F.lit("0"))
-    listed = {}
     for name, part in (("a", rows.where(newest)), ("b", rows.where(~F.coalesce(newest, F.lit(False))).drop("languages"))):
         part.coalesce(1).write.parquet(f"{root}/crawl={name}/subset=warc")
-        listed[name] = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/crawl={name}/subset=warc").select("path").collect()]
     # What isn't Parquet, under a name that is listed.
     spark.createDataFrame([("no parquet",)], "value string").coalesce(1).write.text(f"{root}/crawl=c/subset=warc/broken.parquet")
-    paths = crawl_index.index_paths(root, ["a", "b"], listed) + [f"{root}/crawl=c/subset=warc/broken.parquet"]
-    read = crawl_index.read_index(spark, paths, skip_corrupt=True)
+    listed = {name: crawl_index.listed_files(spark, f"{root}/crawl={name}/subset=warc") for name in "abc"}
+    paths = crawl_index.index_paths(root, "abc", listed)
+    return paths, crawl_index.read_index(spark, paths, skip_corrupt=True)
+
+
+def r_index_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of an index's files, whose columns differ; one file can't be read and is missing in the counts."""
+    _, read = _index_files(spark, folder)
     return read.groupBy("crawl").agg(F.count(F.lit(1)).alias("n_rows"), F.count("languages").alias("n_languages"), F.countDistinct(F.col("_metadata.file_path")).alias("n_files"))
 
 
+def r_index_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary of a run over the same files."""
+    return crawl_index.run_summary(*_index_files(spark, folder))
+
+
+def r_index_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates from the index by patterns, countries and niches."""
+    rows = table(spark, folder, "common_crawl_domains").select(F.col("source_url").alias("url"), "country", F.col("crawl_id").alias("crawl"))
+    return crawl_index.candidates(rows.where("url is not null"), ["/shop", "/Products ", ""], 40, ["DE", "nl", " "], ["markt", "winkel"])
+
+
 def r_country_endings(spark: SparkSession, folder: str) -> DataFrame:
     """Index rows of the endings that are read for some countries."""
     wanted = signals.endings(["AT", "se", "us", "DE", "FR", "ch", None, ""])
@@ -169,7 +184,7 @@ def _named(*functions) -> dict:
 
 
 QUERIES = _named(
-    r_index_files, r_country_endings, r_segment_rows, r_first_matches, r_scanner_values, r_page_seeds, r_source_context, r_domain_upsert, r_promoted, r_legacy_jobs, r_latest_filter, r_next_chunk,
+    r_index_files, r_index_run, r_index_candidates, r_country_endings, r_segment_rows, r_first_matches, r_scanner_values, r_page_seeds, r_source_context, r_domain_upsert, r_promoted, r_legacy_jobs, r_latest_filter, r_next_chunk,
     r_display_values, r_fingerprint_json, r_first_pages, r_all_links,
 )
 
@@ -228,6 +243,8 @@ SQL = {
       select *, case when guess is null or guess <= 0 then null when guess <= 50 then '1-50' when guess <= 200 then '51-200' when guess <= 1000 then '201-1000' else '1000+' end as bucket from g""",
     "r_first_pages": f"with {_PAGES}, {_REASONS}, f as (select domain_id, {_FIRST} from k where domain_id is not null group by 1) select *, {', '.join(f'{k}_url is not null as {k}_found' for k in ('product', 'category', 'cart', 'checkout'))} from f",
     "r_index_files": f"select source_metadata ->> '$.crawl' as crawl, count(*) as n_rows, count(case when {_NEWEST} then source_metadata ->> '$.languages' end) as n_languages, 1 as n_files from crawl_candidates group by 1",
+    "r_index_run": "select 3 as n_listed, 2 as n_processed, 1 as n_skipped, count(*) as n_rows from crawl_candidates",
+    "r_index_candidates": "select source_url as url, coalesce(country, '') as country, coalesce(crawl_id, '') as crawl from common_crawl_domains where (contains(lower(source_url), '/shop') or contains(lower(source_url), '/products')) and lower(coalesce(country, '')) in ('de', 'nl') and (contains(lower(source_url), 'markt') or contains(lower(source_url), 'winkel')) order by 1, 3, 2 limit 200",
     "r_country_endings": "select lower(tld) as ending, count(*) as n_rows from common_crawl_domains where lower(tld) in ('at', 'se', 'us', 'ch') group by 1",
     "r_segment_rows": f"select case when contains({_SEGMENT}, '/shop') then '/shop' when contains({_SEGMENT}, '/cart') then '/cart' when contains({_SEGMENT}, '/collections') then '/collections' end as segment, count(*) as n_rows from crawl_candidates where segment is not null group by 1",
     "r_first_matches": "select array_to_string(coalesce(cast(case when json_valid(matched_patterns) then matched_patterns end as json)::varchar[], [])[1:2], '|') as first_two, count(*) as n_rows from common_crawl_domains group by 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,34 @@ def read_index(spark: SparkSession, paths: list[str], skip_corrupt: bool = False
     return spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("pathGlobFilter", "*.parquet").parquet(*paths)
 
 
+def listed_files(spark: SparkSession, folder: str, most: int | None = None) -> list[str]:
+    """The Parquet files of a folder, local or remote, in order of their names, the first ``most`` of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(str(f.getPath()) for f in found if f.getPath().getName().endswith(".parquet"))[:most]
+
+
+def candidates(rows: DataFrame, patterns: list[str], limit: int, countries: list[str] | None = None, niches: list[str] | None = None) -> DataFrame:
+    """(url, country, crawl) of index rows by optional clauses, five times as many as are wanted in the end.
+
+    A pattern or niche is a part of the URL in lower case; a blank one counts as not given.
+    """
+    given = lambda words: [w for x in words or [] if (w := str(x).strip().lower())]
+    low = F.lower("url")
+    any_of = lambda words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words), F.lit(False))
+    wanted, countries, niches = given(patterns), given(countries), given(niches)
+    rows = rows.where(any_of(wanted)) if wanted else rows
+    rows = rows.where(F.lower(F.coalesce("country", F.lit(""))).isin(countries)) if countries else rows
+    rows = rows.where(any_of(niches)) if niches else rows
+    return rows.select("url", F.coalesce("country", F.lit("")).alias("country"), F.coalesce("crawl", F.lit("")).alias("crawl")).orderBy("url", "crawl", "country").limit(max(1, limit * 5))
+
+
+def run_summary(listed: list[str], read: DataFrame) -> DataFrame:
+    """One row on a run over files: how many were listed, processed and skipped, and their rows."""
+    of = rows_by_file(read)
+    return of.agg(F.lit(len(listed)).alias("n_listed"), F.count(F.lit(1)).alias("n_processed"), F.lit(len(listed)).alias("_n"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).select("n_listed", "n_processed", (F.col("_n") - F.col("n_processed")).alias("n_skipped"), "n_rows")
+
+
 def rows_by_file(df: DataFrame) -> DataFrame:
     """(file, n_rows) of what was read: files that are missing here were skipped."""
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))

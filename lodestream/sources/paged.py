@@ -20,6 +20,11 @@ MOST_ROWS, RETRIED = 100, (502, 503, 504)
 FIELDS = ("url", "status", "mime", "languages")
 
 
+def page_address(base: str, ending: str, page: int, size: int) -> str:
+    """The address of one page of a service: all hosts of an ending, no filters, which are applied to what comes back."""
+    return f"{base}?url=*.{ending}&output=json&limit={min(size, MOST_ROWS)}&fl={','.join(FIELDS)}&page={page}"
+
+
 def folder_pages(folder: str) -> Callable[[str, str, int, int], tuple[int, str]]:
     def fetch(crawl: str, ending: str, page: int, size: int) -> tuple[int, str]:
         path = f"{folder}/{crawl}-{ending}-{page}.jsonl"

@@ -63,3 +63,28 @@ def test_failed_pages_are_tried_again():
     with pytest.raises(OSError):
         fetch_page(lambda *a: (502, ""), "c", "de", 0, 10, 1, 0)
     assert fetch_page(lambda *a: (404, ""), "c", "de", 0, 10, 1, 0) == []
+
+
+def test_files_are_listed_and_runs_summed_up(spark, tmp_path):
+    for name in ("b", "a"):
+        spark.range(2).withColumn(name, F.lit(1)).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    files = [f for n in ("a", "b") for f in C.listed_files(spark, f"{tmp_path}/{n}")]
+    assert len(files) == 2 and C.listed_files(spark, f"{tmp_path}/a", 0) == []
+    (tmp_path / "bad.parquet").write_text("none")
+    paths = [*files, f"{tmp_path}/bad.parquet"]
+    assert C.run_summary(paths, C.read_index(spark, paths, skip_corrupt=True)).collect() == [(3, 2, 1, 4)]
+    with pytest.raises(Exception):  # noqa: B017 - nothing that can be read
+        C.read_index(spark, [f"{tmp_path}/bad.parquet"], skip_corrupt=True).count()
+
+
+def test_candidates_by_optional_clauses(spark):
+    rows = spark.createDataFrame([("https://a.de/Shop", "DE", "c"), ("https://b.nl/x", None, None), (None, "de", "c")], "url string, country string, crawl string")
+    urls = lambda *a, **o: [r.url for r in C.candidates(rows, *a, **o).collect()]
+    assert urls(["shop"], 5) == ["https://a.de/Shop"] and urls([" "], 5) == [None, "https://a.de/Shop", "https://b.nl/x"]
+    assert urls([], 5, countries=["de"], niches=["A.DE", ""]) == ["https://a.de/Shop"] and len(urls([], 0)) == 1
+
+
+def test_addresses_of_pages():
+    from lodestream.sources.paged import page_address
+
+    assert page_address("https://index/c", "de", 2, 500) == "https://index/c?url=*.de&output=json&limit=100&fl=url,status,mime,languages&page=2"
