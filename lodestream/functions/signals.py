@@ -49,12 +49,12 @@ def _contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
-def country_tests(url: Column, domain: Column, country: str) -> tuple[list[tuple[Column, str]], list[tuple[Column, str]]]:
-    """(tests that prove the country, tests of its language), each with the signal's name."""
+def country_tests(url: Column, domain: Column, country: str, lowered: bool = False) -> tuple[list[tuple[Column, str]], list[tuple[Column, str]]]:
+    """(tests that prove the country, tests of its language), each with the signal's name; ``lowered`` tells that the URL is in lower case already."""
     if country not in COUNTRIES:
         return [], []
     tlds, paths, words, language = COUNTRIES[country]
-    low, tld = F.lower(url), top_label(domain)
+    low, tld = url if lowered else F.lower(url), top_label(domain)
     proof = [(tld == t, f"tld:{t}") for t in tlds] + [(F.contains(low, F.lit(p)), f"url:{p}") for p in paths] + [(F.contains(domain, F.lit(w)), f"domain:{w}") for w in words]
     return proof, [(F.contains(low, F.lit(p)), f"url:{p}") for p in language]
 

@@ -49,51 +49,57 @@ _SETS = ("country_signals", "language_signals", "matched_patterns")
 
 
 def _tests(country: str) -> dict[str, list]:
-    proof, language = signals.country_tests(F.col("url"), F.col("domain"), country)
-    return dict(zip(_SETS, (proof, language, signals.shop_tests(F.col("url"))), strict=True))
+    proof, language = signals.country_tests(F.col("low"), F.col("domain"), country, lowered=True)
+    return dict(zip(_SETS, (proof, language, signals.shop_tests(F.col("low"))), strict=True))
 
 
-def _signalled(spark: SparkSession, folder: str, country: str) -> DataFrame:
-    """Index rows with their host and their signals as sets of bits."""
-    rows = _index(spark, folder).withColumn("domain", urls.discovery_domain(urls.url_host(F.col("url"))))
-    return rows.select("row_id", "url", "domain", "crawl", "fetched_at", *(signals.bits(t).alias(n) for n, t in _tests(country).items()))
+def _by_country(of) -> Column:
+    """The value that belongs to a row's country."""
+    return F.coalesce(*(F.when(F.col("country") == c, of(c)) for c in signals.COUNTRIES))
 
 
-def fold_by_domain(rows: DataFrame, country: str, *by: str) -> DataFrame:
-    """One row for each domain (and each value of the columns ``by``): capped points, sets of signals, first URL and last crawl.
+def _signalled(spark: SparkSession, folder: str) -> DataFrame:
+    """Index rows with their host, once for each country, and their signals as sets of bits."""
+    rows = _index(spark, folder).withColumn("domain", urls.discovery_domain(urls.url_host(F.col("url")))).withColumn("low", F.lower("url"))
+    # What doesn't depend on the country is computed before a row is repeated for each.
+    rows = rows.select("row_id", "url", "low", "domain", "crawl", "fetched_at", signals.bits(signals.shop_tests(F.col("low"))).alias("matched_patterns"), signals.shop_points(F.col("low")).alias("points"), F.explode(F.array(*map(F.lit, signals.COUNTRIES))).alias("country"))
+    return rows.select("*", *(_by_country(lambda c, n=n: signals.bits(_tests(c)[n])).alias(n) for n in _SETS if n != "matched_patterns"))
+
+
+def fold_by_domain(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each country and domain (and each value of the columns ``by``): capped points, sets of signals, first URL and last crawl.
 
     All aggregates combine on the map side (sets by ``bit_or``), so a domain with a third of all rows costs no
     more than another.
     """
-    points = signals.shop_points(F.col("url"))
-    rows = rows.where("domain is not null and country_signals > 0").withColumn("points", F.when(points > 0, points).otherwise(FLOOR))
-    folded = rows.groupBy("domain", *by).agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("score"), F.min_by("url", "row_id").alias("source_url"), F.max_by("crawl", "row_id").alias("crawl_id"), F.max("fetched_at").alias("last_seen_at"), *(F.bit_or(n).alias(n) for n in _SETS))
-    return folded.select("domain", *by, urls.top_label(F.col("domain")).alias("tld"), F.lit(country).alias("country"), "score", *(signals.names_of(F.col(n), t).alias(n) for n, t in _tests(country).items()), "source_url", "crawl_id", "last_seen_at")
+    rows = rows.where("domain is not null and country_signals > 0").withColumn("points", F.when(F.col("points") > 0, F.col("points")).otherwise(FLOOR))
+    folded = rows.groupBy("country", "domain", *by).agg(F.least(F.lit(100), F.sum("points")).cast("int").alias("score"), F.min_by("url", "row_id").alias("source_url"), F.max_by("crawl", "row_id").alias("crawl_id"), F.max("fetched_at").alias("last_seen_at"), *(F.bit_or(n).alias(n) for n in _SETS))
+    return folded.select("country", "domain", *by, urls.top_label(F.col("domain")).alias("tld"), "score", *(_by_country(lambda c, n=n: signals.names_of(F.col(n), _tests(c)[n])).alias(n) for n in _SETS), "source_url", "crawl_id", "last_seen_at")
 
 
 def r_import(spark: SparkSession, folder: str) -> DataFrame:
-    """The index of one country's domains, folded from the crawl."""
-    out = fold_by_domain(_signalled(spark, folder, COUNTRY), COUNTRY)
+    """The index of each country's domains, folded from the crawl."""
+    out = fold_by_domain(_signalled(spark, folder))
     return out.select("domain", "tld", "country", "score", *(_joined(c).alias(c) for c in ("country_signals", "language_signals", "matched_patterns")), "source_url", "crawl_id", _second("last_seen_at").alias("last_seen_at"))
 
 
 def r_import_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Why rows were taken or left out, in one pass."""
-    rows, proof, language = _signalled(spark, folder, COUNTRY), F.col("country_signals") > 0, F.col("language_signals") > 0
+    """Why rows were taken or left out for each country, in one pass."""
+    rows, proof, language = _signalled(spark, folder), F.col("country_signals") > 0, F.col("language_signals") > 0
     n = lambda test, name: F.sum(F.when(test, 1).otherwise(0)).alias(name)
     valid = F.col("domain").isNotNull()
-    return rows.groupBy("crawl").agg(F.count(F.lit(1)).alias("n_read"), n(~valid, "n_invalid"), n(valid & proof, "n_accepted"), n(valid & ~proof, "n_skipped"), n(valid & ~proof & language, "n_language_only"))
+    return rows.groupBy("crawl", "country").agg(F.count(F.lit(1)).alias("n_read"), n(~valid, "n_invalid"), n(valid & proof, "n_accepted"), n(valid & ~proof, "n_skipped"), n(valid & ~proof & language, "n_language_only"))
 
 
 def r_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The index of earlier crawls, and of rows without one, with the newest crawl merged in; all rows are folded once."""
     newest = _index(spark, folder).agg(F.max("crawl")).first()[0]
-    rows = _signalled(spark, folder, COUNTRY).withColumn("is_new", F.coalesce(F.col("crawl") == newest, F.lit(False)))
-    folded = materialize(fold_by_domain(rows, COUNTRY, "is_new"), "folded")
+    rows = _signalled(spark, folder).withColumn("is_new", F.coalesce(F.col("crawl") == newest, F.lit(False)))
+    folded = materialize(fold_by_domain(rows, "is_new").withColumn("key", F.struct("country", "domain")), "folded")
     old, new = (folded.where(t).drop("is_new") for t in ("not is_new", "is_new"))
     rules = {"score": "greatest", "matched_patterns": "union", "country_signals": "new", "source_url": "old_or_new", "crawl_id": "new", "last_seen_at": "new"}
-    out = keyed.merge(old, new, "domain", rules)
-    return out.select("domain", "score", *(_joined(c).alias(c) for c in ("matched_patterns", "country_signals")), "source_url", "crawl_id", _second("last_seen_at").alias("last_seen_at"), "merge_state")
+    out = keyed.merge(old, new, "key", rules)
+    return out.select("key.country", "key.domain", "score", *(_joined(c).alias(c) for c in ("matched_patterns", "country_signals")), "source_url", "crawl_id", _second("last_seen_at").alias("last_seen_at"), "merge_state")
 
 
 # --- domains -----------------------------------------------------------------------------------------------

@@ -72,18 +72,17 @@ with raw as (
   from raw where trim(m ->> '$.status') in ('200', '301', '302') and contains(lower(coalesce(m ->> '$.mime', '')), 'text/html')
 )
 """
-_PROOF, _LANGUAGE = _country("url", "domain", "de")
 _SIGNALLED = _INDEX + f""", dom as (select *, {discovery(url_host('url'))} as domain from idx
-), sig as (select row_id, url, domain, crawl, fetched_at, {_PROOF} as cs, {_LANGUAGE} as ls, {_labels('url')} as ps, {_points('url')} as points from dom)
+), sig as ({' union all '.join(f"select '{c}' as country, row_id, url, domain, crawl, fetched_at, {proof} as cs, {language} as ls, {_labels('url')} as ps, {_points('url')} as points from dom" for c in signals.COUNTRIES for proof, language in [_country('url', 'domain', c)])})
 """
 
 
 def _fold(name: str, test: str) -> str:
     flat = lambda c: f"list_sort(list_distinct(flatten(list({c}))))"
     return f"""{name} as (
-  select domain, least(100, sum(case when points > 0 then points else 5 end))::int as score, {flat('cs')} as cs, {flat('ls')} as ls, {flat('ps')} as ps,
+  select country, domain, least(100, sum(case when points > 0 then points else 5 end))::int as score, {flat('cs')} as cs, {flat('ls')} as ls, {flat('ps')} as ps,
     arg_min(url, row_id) as source_url, arg_max(crawl, row_id) filter (where crawl is not null) as crawl_id, max(fetched_at) as seen
-  from sig where domain is not null and len(cs) > 0 and {test} group by domain)"""
+  from sig where domain is not null and len(cs) > 0 and {test} group by country, domain)"""
 
 
 _TAIL = "array_to_string({0}, '|')"
@@ -135,13 +134,13 @@ SQL = {
     "r_first_pattern": _INDEX + f"""select coalesce({', '.join(f"case when contains(lower(url), '{p}') then '{p}' end" for p in signals.DEFAULT_PATTERNS)}, '') as pattern,
       coalesce({', '.join(f"case when contains(lower(url), '/{w}') then '/{w}' end" for w in ('p', 'winkel', 'cart'))}) as segment, count(*) as n_rows from idx group by 1, 2""",
     "r_like_patterns": _INDEX + f"select split_part(d, '.', -1) as ending, count(*) as n_rows from (select {discovery(url_host('url'))} as d from idx where lower(url) like '%/shop%' or lower(url) like '%/kategorie/%' or lower(url) like '%size=4_%') where split_part(d, '.', -1) in ('de', 'nl', 'fr', 'ch') group by 1",
-    "r_import": _SIGNALLED + ", " + _fold("f", "true") + f" select domain, split_part(domain, '.', -1) as tld, 'de' as country, score, {_TAIL.format('cs')} as country_signals, {_TAIL.format('ls')} as language_signals, {_TAIL.format('ps')} as matched_patterns, source_url, crawl_id, {_DAY.format('seen')} as last_seen_at from f",
-    "r_import_counts": _SIGNALLED + "select crawl, count(*) as n_read, count(*) filter (domain is null) as n_invalid, count(*) filter (domain is not null and len(cs) > 0) as n_accepted, count(*) filter (domain is not null and len(cs) = 0) as n_skipped, count(*) filter (domain is not null and len(cs) = 0 and len(ls) > 0) as n_language_only from sig group by 1",
+    "r_import": _SIGNALLED + ", " + _fold("f", "true") + f" select domain, split_part(domain, '.', -1) as tld, country, score, {_TAIL.format('cs')} as country_signals, {_TAIL.format('ls')} as language_signals, {_TAIL.format('ps')} as matched_patterns, source_url, crawl_id, {_DAY.format('seen')} as last_seen_at from f",
+    "r_import_counts": _SIGNALLED + "select crawl, country, count(*) as n_read, count(*) filter (domain is null) as n_invalid, count(*) filter (domain is not null and len(cs) > 0) as n_accepted, count(*) filter (domain is not null and len(cs) = 0) as n_skipped, count(*) filter (domain is not null and len(cs) = 0 and len(ls) > 0) as n_language_only from sig group by 1, 2",
     "r_merge": _SIGNALLED + ", " + _fold("o", "coalesce(crawl < (select max(crawl) from idx), true)") + ", " + _fold("n", "crawl = (select max(crawl) from idx)") + f"""
-      select coalesce(o.domain, n.domain) as domain, greatest(o.score, n.score) as score, {_TAIL.format('list_sort(list_distinct(list_concat(coalesce(o.ps, []), coalesce(n.ps, []))))')} as matched_patterns,
+      select coalesce(o.country, n.country) as country, coalesce(o.domain, n.domain) as domain, greatest(o.score, n.score) as score, {_TAIL.format('list_sort(list_distinct(list_concat(coalesce(o.ps, []), coalesce(n.ps, []))))')} as matched_patterns,
         {_TAIL.format('case when n.domain is null then o.cs else n.cs end')} as country_signals, coalesce(o.source_url, n.source_url) as source_url, case when n.domain is null then o.crawl_id else n.crawl_id end as crawl_id,
         {_DAY.format('case when n.domain is null then o.seen else n.seen end')} as last_seen_at, case when n.domain is null then 'kept' when o.domain is null then 'inserted' else 'updated' end as merge_state
-      from o full join n on o.domain = n.domain""",
+      from o full join n on o.domain = n.domain and o.country = n.country""",
     "r_domain_forms": rf"""with d as (select candidate_id, {discovery('domain')} as discovery, regexp_replace(split_part({_bare('domain')}, '/', 1), '\.+$', '') as ingest, regexp_replace({_bare('domain')}, '/+$', '') as fingerprint, nullif(split_part({_bare('domain')}, '/', 1), '') as promote, regexp_replace(lower({_strip('domain')}), '^www\.', '') as plain from discovered_candidates)
       select *, case when contains(discovery, '.') then split_part(discovery, '.', -2) else discovery end as second_label, split_part(discovery, '.', -1) as top_label, case when regexp_matches(ingest, '^https?://') then ingest else 'https://' || ingest end as homepage from d""",
     "r_suffix_matches": f"""with h as (select distinct {discovery('domain')} as host from common_crawl_domains), n as (select distinct {discovery('normalized_domain')} as name from domains)
