@@ -103,8 +103,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_pairs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The corpus model of a single text column: pairs and characters (sorted numbers) of its distinct texts, and their counts."""
-    # Copies are dropped on the map side first. Pure ASCII says nothing of characters beyond it.
-    once = texts.where(F.col(texts.columns[0]).rlike(_NOT_ASCII)).distinct()
+    # Copies are dropped on the map side first. Pure ASCII counts too: how common letters are decides what they say of their neighbours.
+    once = texts.distinct()
     counted = materialize(once.mapInArrow(_count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     alone, inside = F.col("pair").bitwiseAND(F.lit(int(_ALONE))) == F.lit(int(_ALONE)), (F.shiftright("pair", 32) < 128) & (F.col("pair").bitwiseAND(F.lit(int(_ALONE))) < 128)
     beyond = counted.where(~alone & ~inside).agg(F.sum("n")).first()[0] or 0

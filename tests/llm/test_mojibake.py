@@ -139,6 +139,20 @@ def test_the_model_counts_distinct_texts(spark):
         assert (a == b).all()
 
 
+def test_pure_ascii_texts_count_in_the_model(spark):
+    texts = [*CLEAN, "plain", "plain", "PLAIN 12", None, ""]
+    got = mojibake.corpus_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    for a, b in zip(got, counted([t for t in texts if t]), strict=True):
+        assert (a == b).all()
+
+
+def test_pure_ascii_texts_show_that_letters_beside_a_garbled_run_are_common(spark):
+    r = random.Random(5)
+    small = [" ".join(r.choices("für schöne größen erreichen sie unser büro täglich außer sonntags".split(), k=9)) for _ in range(100)]
+    plain = [" ".join(r.choices("ROUND RED DESK AND DARK DOOR FOR YOUR ROOM".split(), k=12)) + f" {i}" for i in range(500)]
+    assert run(spark, [*small, *plain, "RØD", "RÃ˜D"]) == {601: "RØD"}
+
+
 def test_lost_bytes_are_found(spark):
     text = "Gr" + chr(0xFFFD) + "ße"
     assert run(spark, [*sample(), text, text]) == {600: text, 601: text}
